@@ -139,7 +139,8 @@ def forest_edges(label: np.ndarray, ids: np.ndarray, sig: np.ndarray, boundary:
         return x
 
     def union(pairs_a: np.ndarray, pairs_b: np.ndarray) -> None:
-        for a, b in zip(pairs_a.tolist(), pairs_b.tolist()):
+        apart = comp[pairs_a] != comp[pairs_b]
+        for a, b in zip(pairs_a[apart].tolist(), pairs_b[apart].tolist()):
             ra, rb = root(a), root(b)
             if ra != rb:
                 comp[max(ra, rb)] = min(ra, rb)

@@ -241,3 +241,22 @@ def scan(docs: DataFrame) -> DataFrame:
         )
 
     return common.map_steps(common.id_text(docs), run, SCHEMA)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with findings in text replaced, and n_chars (if there is such a column) the new length where a text changed."""
+
+    def run(step: pa.RecordBatch) -> pa.RecordBatch:
+        texts = step.column("text").to_pylist()
+        spans = [find(t) if t else [] for t in texts]
+        if not any(spans):
+            return step
+        new = [redact(t, s) if s else t for t, s in zip(texts, spans)]
+        columns = list(step.columns)
+        columns[step.schema.get_field_index("text")] = pa.array(new, pa.string())
+        at = step.schema.get_field_index("n_chars")
+        if at >= 0:
+            columns[at] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, columns[at].to_pylist())], columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, step.schema.names)
+
+    return common.map_steps(docs, run, docs.schema)
