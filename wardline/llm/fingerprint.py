@@ -57,8 +57,9 @@ def merge(sketches: DataFrame, by: str) -> DataFrame:
 
 def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: str) -> DataFrame:
     """small_key, large_key, shared, contained: for each pair that shares a hash, the estimated share of small in large."""
-    one = small.select(F.col(small_key), F.size("sketch").alias("_n"), F.explode("sketch").alias("_h"))
-    two = large.select(F.col(large_key), F.explode("sketch").alias("_h"))
+    # explode would have the optimiser test the sketch's size below, and so evaluate it again; nulls don't join
+    one = small.select(F.col(small_key), F.size("sketch").alias("_n"), F.explode_outer("sketch").alias("_h"))
+    two = large.select(F.col(large_key), F.explode_outer("sketch").alias("_h"))
     met = one.join(two, "_h").groupBy(small_key, large_key, "_n").agg(F.count("*").alias("shared"))
     return met.select(small_key, large_key, "shared", F.round(F.col("shared") / F.col("_n"), 6).alias("contained"))
 

@@ -5,9 +5,9 @@ often the document repeats it, and a bottom-k sketch of its word 3-shingles. Doc
 with the same signature and sketch are one point. Every trie of the forest permutes the
 bits. A point's label is a prefix of the permuted bits whose depth follows the density:
 deep enough that a prefix holds few of that many random points. From that depth the
-search climbs to shorter prefixes while the planned recall of pairs at the boundary
-distance, over all tries, is below the target and another trie costs more than the
-climb. Points that share a label are compared bit by bit; pairs within the boundary are
+search climbs to shorter prefixes while the recall of pairs at the planned distance,
+over all tries, is below the target and another trie costs more than the climb. Points
+that share a label are compared bit by bit; pairs within the (wider) boundary are
 verified by the Jaccard similarity of their sketches; groups are the connected
 components of verified pairs, and the smallest doc_id of each stays.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from wardline.llm import common, textvec
 
 BITS = 128
-#: Distance (bits of 128) up to which pairs are to be found, and verified.
-BOUNDARY = 18
+#: Distance (bits of 128) for which the forest's recall is planned, and up to which pairs that it meets are verified.
+PLANNED, BOUNDARY = 20, 28
 TARGET_RECALL = 0.92
 SHINGLE = 3
 SKETCH = 128
@@ -102,8 +102,8 @@ def points(docs: DataFrame) -> DataFrame:
     return common.map_steps(own, run, "doc_id long, hi long, lo long, sketch array<int>, same long")
 
 
-def plan(n: int, boundary: int = BOUNDARY, target: float = TARGET_RECALL) -> tuple[int, int]:
-    """(tries, depth) for n points: the cheapest with the target recall for pairs at half the boundary's odds or better.
+def plan(n: int, planned: int = PLANNED, target: float = TARGET_RECALL) -> tuple[int, int]:
+    """(tries, depth) for n points: the cheapest with the target recall for pairs at the planned distance.
 
     A label of depth d is shared by a pair at distance r with the hypergeometric probability p(d); L tries find it
     with 1 - (1 - p)^L. Beginning at the depth at which random points are alone, each step climbs one bit; the cost
@@ -111,7 +111,7 @@ def plan(n: int, boundary: int = BOUNDARY, target: float = TARGET_RECALL) -> tup
     """
     best = None
     for depth in range(max(8, math.ceil(math.log2(max(n, 2))) + 3), 5, -1):
-        p = math.prod((BITS - boundary - i) / (BITS - i) for i in range(depth))
+        p = math.prod((BITS - planned - i) / (BITS - i) for i in range(depth))
         tries = max(1, math.ceil(math.log(1 - target) / math.log(1 - p)))
         cost = tries * (1 + n / 2 ** (depth + 1) / 8)
         if best is None or cost < best[0]:
@@ -169,7 +169,7 @@ def forest_edges(label: np.ndarray, ids: np.ndarray, sig: np.ndarray, boundary:
 
 def candidate_pairs(sigs: DataFrame, n: int, boundary: int = BOUNDARY, target: float = TARGET_RECALL) -> DataFrame:
     """(a, b) distinct pairs of points, a < b, that the forest finds within the boundary."""
-    tries, depth = plan(n, boundary, target)
+    tries, depth = plan(n, target=target)
     rng = np.random.default_rng(20240229)
     picked = np.stack([rng.permutation(BITS)[:depth] for _ in range(tries)])
     parts = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * tries // 1_000_000))
