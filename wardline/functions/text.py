@@ -55,10 +55,8 @@ def regex_guard(patterns: dict[str, str] | None = None, *, redact: bool = False,
         labels = F.concat_ws(", ", F.transform(hits, lambda h: h["label"]))
         evidence = F.to_json(F.struct(hits.alias("matches")))
         if redact:
-            new = text
-            for p in patterns.values():
-                span = F.regexp_extract(text, flags + p, 0)
-                new = F.when(span != "", F.replace(new, span, F.lit("[REDACTED]"))).otherwise(new)
+            spans = F.array(*(F.regexp_extract(text, flags + p, 0) for p in patterns.values()))
+            new = F.aggregate(spans, text, lambda t, span: F.when(span != "", F.replace(t, span, F.lit("[REDACTED]"))).otherwise(t))
             found = D.transform(new, tier=tier, rationale=F.concat(F.lit("redacted: "), labels), evidence=evidence, guard=name)
         else:
             found = D.block(tier=tier, rationale=F.concat(F.lit("matched: "), labels), evidence=evidence, guard=name)

@@ -58,8 +58,13 @@ class GuardPipeline:
     def evaluate(self, ctx: dict[str, Column], **ms: Column) -> Column:
         return self.resolve(*(self.run_tier(n, ctx) for n in (1, 2, 3)), **ms)
 
-    def apply(self, df: DataFrame, chunk: str = "chunk", buffer: str | None = None, name: str = "decision") -> DataFrame:
-        return df.withColumn(name, self.evaluate({"chunk": F.col(chunk), "buffer": F.col(buffer) if buffer else F.lit(None).cast("string")}))
+    def apply(self, df: DataFrame, chunk: str = "chunk", buffer: str | None = None, name: str = "decision", **ms: Column) -> DataFrame:
+        """Adds the decision. Each guard and each tier is a column of its own first, so that no pattern is matched once for every use of its result."""
+        ctx = {"chunk": F.col(chunk), "buffer": F.col(buffer) if buffer else F.lit(None).cast("string")}
+        tiers = (self.tier1, self.tier2, self.tier3)
+        out = df.withColumns({f"_g{n}_{i}": g(ctx) for n, tier in enumerate(tiers, 1) for i, g in enumerate(tier)}) if any(tiers) else df
+        out = out.withColumns({f"_t{n}": D.combine([F.col(f"_g{n}_{i}") for i in range(len(tier))], n) for n, tier in enumerate(tiers, 1)})
+        return out.select(*(F.col(c) for c in df.columns if c != name), self.resolve(F.col("_t1"), F.col("_t2"), F.col("_t3"), **ms).alias(name))
 
     def apply_split(self, df: DataFrame, heavy: Callable[[DataFrame], DataFrame], chunk: str = "chunk", name: str = "decision") -> DataFrame:
         """For scorers in Python, which a CASE would run on every row: only rows that tier 1 leaves open reach heavy, which must add the column."""
@@ -73,7 +78,7 @@ class GuardPipeline:
         order = Window.partitionBy(key).orderBy(seq)
         so_far = order.rowsBetween(Window.unboundedPreceding, 0)
         one = df.select(key, seq, F.col(chunk).alias("_c"), F.array_join(F.collect_list(F.coalesce(chunk, F.lit(""))).over(so_far), "").alias("_b"))
-        two = one.select(key, seq, "_c", self.evaluate({"chunk": F.col("_c"), "buffer": F.col("_b")}).alias("decision"))
+        two = self.apply(one, "_c", "_b").select(key, seq, "_c", "decision")
         before = F.coalesce(F.max(D.terminal(F.col("decision")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return two.withColumn("_d", before).where("_d = 0").select(key, seq, "decision", D.render(F.col("decision"), F.col("_c")).alias("emitted"))
 

@@ -135,6 +135,10 @@ class Policy:
         return spark.createDataFrame(rows, "tool string, _own int")
 
 
+def _why(code: Column, reason: Column) -> Column:
+    return F.struct(code.alias("c"), reason.alias("r"))
+
+
 def authorize(calls: DataFrame, policy: Policy, approvals: DataFrame | None = None, key: str = "call_id") -> DataFrame:
     """The calls (key, tool, cfi rank, provenance, capabilities, integrity) with allowed, mediated, reason_code and reason.
 
@@ -148,13 +152,13 @@ def authorize(calls: DataFrame, policy: Policy, approvals: DataFrame | None = No
     known = F.col("_cfi").isNotNull()
     forbidden = F.array_except("capabilities", "_caps")
     code = F.when(known & ~meets(F.col("cfi"), F.col("_cfi")), F.struct(F.lit(REASONS[0]).alias("c"), F.concat(F.lit("control flow is "), label(F.col("cfi")), F.lit(", needs "), label(F.col("_cfi"))).alias("r")))
-    code = code.when(known & F.col("_arg").isNotNull() & ~meets(F.col("integrity"), F.col("_arg")), F.struct(F.lit(REASONS[1]), F.concat(F.lit("arguments are "), label(F.col("integrity")), F.lit(", needs "), label(F.col("_arg")))))
-    code = code.when(known & (F.size(forbidden) > 0), F.struct(F.lit(REASONS[2]), F.concat(F.lit("not granted: "), F.array_join(forbidden, ", "))))
-    code = code.when(F.col("_own").isNotNull() & ~meets(F.col("integrity"), F.col("_own")), F.struct(F.lit(REASONS[3]), F.concat(F.lit("arguments are "), label(F.col("integrity")), F.lit(", the tool needs "), label(F.col("_own")))))
+    code = code.when(known & F.col("_arg").isNotNull() & ~meets(F.col("integrity"), F.col("_arg")), _why(F.lit(REASONS[1]), F.concat(F.lit("arguments are "), label(F.col("integrity")), F.lit(", needs "), label(F.col("_arg")))))
+    code = code.when(known & (F.size(forbidden) > 0), _why(F.lit(REASONS[2]), F.concat(F.lit("not granted: "), F.array_join(forbidden, ", "))))
+    code = code.when(F.col("_own").isNotNull() & ~meets(F.col("integrity"), F.col("_own")), _why(F.lit(REASONS[3]), F.concat(F.lit("arguments are "), label(F.col("integrity")), F.lit(", the tool needs "), label(F.col("_own")))))
     ctx = {c: F.col(c) for c in calls.columns}
     for tool, when, reason in policy.deny_rules:
         hit = F.coalesce(when(ctx), F.lit(False))
-        code = code.when(hit if tool is None else (F.col("tool") == tool) & hit, F.struct(F.lit(REASONS[4]), F.lit(reason)))
+        code = code.when(hit if tool is None else (F.col("tool") == tool) & hit, _why(F.lit(REASONS[4]), F.lit(reason)))
     df = df.withColumn("_v", code)
     mediated = F.lit(False)
     if policy.mode == "mediated" and approvals is not None:

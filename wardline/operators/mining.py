@@ -48,13 +48,17 @@ def clusters(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("n"), "first_idx")))
 
 
+def _span(n: int):
+    return lambda i: F.struct(F.lit(n).alias("k"), i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("p"))
+
+
 def phrases(labelled: DataFrame, samples: int = 8, chars: int = 300, top: int = 3) -> DataFrame:
     """label, summary: the commonest 2- and 3-word phrases of each cluster's first samples; ties as they first occur."""
     per = Window.partitionBy("label").orderBy("idx")
     first = labelled.withColumn("_s", F.row_number().over(per)).where(F.col("_s") <= samples).select("label", "_s", F.regexp_extract_all(F.lower(F.substring("input", 1, chars)), F.lit(WORDS), 1).alias("w"))
     each = None
     for n in (2, 3):
-        spans = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.struct(F.lit(n).alias("k"), i.alias("i"), F.array_join(F.slice("w", i, n), " ").alias("p")))
+        spans = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), _span(n))
         part = first.where(F.size("w") >= n).select("label", "_s", F.explode(spans).alias("x")).select("label", "_s", "x.*")
         each = part if each is None else each.unionByName(part)
     counted = each.groupBy("label", "p").agg(F.count("*").alias("c"), F.min(F.struct("_s", "k", "i")).alias("at"))

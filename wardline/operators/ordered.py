@@ -64,7 +64,7 @@ class Progress:
         """The fingerprint that first reached the threshold in the window, or null; it keeps firing until it leaves the window."""
         seen = F.collect_list(fp).over(w.rowsBetween(1 - self.window, 0))
         # the copy that completes the threshold, oldest first: each candidate with the position of its n-th copy
-        nth = F.transform(F.array_distinct(seen), lambda f: F.struct(F.element_at(F.filter(F.transform(seen, lambda x, i: F.when(x == f, i)), lambda i: i.isNotNull()), F.lit(self.duplicates)).alias("at"), f.alias("fp")))
+        nth = F.transform(F.array_distinct(seen), lambda f: F.struct(F.try_element_at(F.filter(F.transform(seen, lambda x, i: F.when(x == f, i)), lambda i: i.isNotNull()), F.lit(self.duplicates)).alias("at"), f.alias("fp")))
         return F.array_min(F.filter(nth, lambda x: x["at"].isNotNull()))["fp"]
 
     def cycle(self, fp: Column, w) -> Column:
