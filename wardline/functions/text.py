@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions import decision as D
 
@@ -142,7 +143,7 @@ def step_fingerprint(tool: Column, args: Column) -> Column:
     return F.substring(F.sha2(F.concat(tool, F.lit("\u0001"), F.coalesce(canonical_json(args), args, F.lit("null"))), 256), 1, 16)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_schema_hash(schemas: pd.Series) -> pd.Series:
     """Over the ASCII-escaped form that Python's json gives; for registries whose hashes were made that way."""
     import hashlib
