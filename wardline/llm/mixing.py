@@ -14,7 +14,7 @@ least total for which no source shrinks.
 Nulls and the like: a null source is a source of its own; a null or empty text has no
 tokens, rate 1 and one copy; repeated rows have equal rates and copies; a null doc_id is
 rounded like an id of its own; a target for a source without tokens can't be met and
-is dropped; a source without a target keeps its tokens; an empty table gives no rows;
+is dropped; a value without a target is left free (alone, it keeps its tokens); an empty table gives no rows;
 columns other than doc_id, text and the dimensions are ignored.
 """
 
@@ -84,9 +84,9 @@ def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None =
     if targets is None:
         back = {_key(None): None} | {v: v[1:] for v in have[0] if v != "n"}
         targets = {dims[0]: tempered({back[v]: n for v, n in have[0].items()})}
-    names = [(k, v) for k, d in enumerate(dims) if d in targets for v in sorted(have[k])]
-    wanted = {(k, _key(v)): n for k, d in enumerate(dims) for v, n in targets.get(d, {}).items()}
-    goal = np.array([wanted.get(x, have[x[0]][x[1]]) for x in names]) / scale
+    wanted = {(k, _key(v)): n for k, d in enumerate(dims) for v, n in targets.get(d, {}).items() if _key(v) in have[k]}
+    names = sorted(wanted)
+    goal = np.array([wanted[x] for x in names]) / scale
     index = {x: i for i, x in enumerate(names)}
 
     def dual(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None =
         for k in range(len(dims)):
             mine = [(v, lam[i]) for (kk, v), i in index.items() if kk == k]
             if mine:
-                total = total + F.element_at(F.map_from_arrays(F.array(*(F.lit(v) for v, _ in mine)), F.array(*(F.lit(float(x)) for _, x in mine))), F.col(f"d{k}"))
+                total = total + F.coalesce(F.element_at(F.map_from_arrays(F.array(*(F.lit(v) for v, _ in mine)), F.array(*(F.lit(float(x)) for _, x in mine))), F.col(f"d{k}")), F.lit(0.0))
         x = F.col("t") / scale
         w = F.col("n") * F.exp(F.least(total * x, F.lit(500.0)))
         f, g, h = -float(lam @ goal), -goal.copy(), np.zeros((len(names), len(names)))
@@ -108,7 +108,7 @@ def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None =
 
     lam, rounds = np.zeros(len(names)), 0
     f, g, h = dual(lam)
-    while rounds < most and np.abs(g / np.maximum(goal, 1)).max() > TOLERANCE:
+    while names and rounds < most and np.abs(g / np.maximum(goal, 1)).max() > TOLERANCE:
         step = np.linalg.lstsq(h, -g, rcond=1e-12)[0]
         size = 1.0
         while True:

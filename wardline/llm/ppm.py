@@ -216,7 +216,7 @@ def score(docs: DataFrame, counts: DataFrame | None = None, order: int = ORDER,
             fresh, back = np.unique(keys[missing], return_inverse=True)
             bits[missing] = trie.bits(fresh)[back]
         doc = np.repeat(np.arange(step.num_rows), np.diff(offsets))
-        return _result(step, np.diff(offsets), np.bincount(doc, bits, step.num_rows))
+        return _result(step, np.diff(offsets), np.bincount(doc, bits, step.num_rows).astype(float))
 
     return common.map_steps(own, run, SCHEMA)
 
