@@ -84,10 +84,14 @@ def probe_report(spark: SparkSession, path: str, only_violations: bool = True) -
 
 def evaluation_log(spark: SparkSession, path: str, only_violations: bool = True) -> DataFrame:
     """Evaluations: a file that is one JSON object has its samples (or results) in it, any other is JSON lines. So a file of one line has none of its own."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value", F.try_parse_json("value").alias("doc"))
+    lines = F.filter(F.transform(F.split("value", "\r\n|\r|\n"), F.trim), lambda x: x != "")
+    whole = spark.read.text(path, wholetext=True).select("value", lines.alias("ls"))
+    # the parser ignores what follows a first object, so several lines of which the first is one are told by that
+    by_line = (F.size("ls") > 1) & F.try_parse_json(F.try_element_at("ls", F.lit(1))).isNotNull()
+    whole = whole.withColumn("doc", F.when(~by_line, F.try_parse_json("value")))
     listed = F.coalesce(F.try_variant_get("doc", "$.samples", "array<variant>"), F.try_variant_get("doc", "$.results", "array<variant>"), F.array().cast("array<variant>"))
     inside = whole.where(F.col("doc").isNotNull()).select(F.posexplode(listed).alias("idx", "obj")).select(F.col("idx").cast("long").alias("idx"), "obj", F.to_json("obj").alias("line"))
-    rest = whole.where(F.col("doc").isNull()).select(F.filter(F.transform(F.split("value", "\r\n|\r|\n"), F.trim), lambda x: x != "").alias("ls")).select(F.posexplode("ls").alias("idx", "line")).select(F.col("idx").cast("long").alias("idx"), F.parse_json("line").alias("obj"), "line")
+    rest = whole.where(F.col("doc").isNull()).select(F.posexplode("ls").alias("idx", "line")).select(F.col("idx").cast("long").alias("idx"), F.parse_json("line").alias("obj"), "line")
     return _failures(
         inside.unionByName(rest), "evaluation", only_violations,
         id=F.coalesce(first_truthy(_get("$.id")), F.concat(F.lit("evaluation-"), F.col("idx").cast("string"))), input=F.coalesce(_get("$.input"), F.lit("")), output=F.coalesce(_get("$.output"), F.lit("")),
