@@ -41,29 +41,34 @@ SKETCH = 128
 #: Jaccard similarity of 3-shingles from which a pair is a near copy.
 MIN_JACCARD = 0.55
 _WEIGHT = 12
-_ROWS = 1 << 16
+#: Documents whose histograms are held at once.
+_ROWS = 1 << 12
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
 
 
 def simhash(w: textvec.Words, rows: int) -> np.ndarray:
     """(rows, 2) uint64: the signs of the weighted bit sums of each document's distinct words."""
     if not len(w.h):
         return np.zeros((rows, 2), np.uint64)
-    order = np.lexsort((w.h, w.doc))
-    h, doc = w.h[order], w.doc[order]
-    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
-    times = np.diff(np.append(new, len(h)))
-    h, doc = h[new], doc[new]
-    weight = np.maximum(_WEIGHT // times, 1).astype(np.int8)
-    sums = np.zeros((rows, BITS), np.int32)
-    for a in range(0, len(h), _ROWS):
-        part = h[a : a + _ROWS]
-        both = np.stack([part, textvec.mix(part + np.uint64(0x9E3779B97F4A7C15))], 1)
-        signs = np.unpackbits(both.view(np.uint8), axis=1).view(np.int8)
-        signs = (2 * signs - 1) * weight[a : a + _ROWS, None]
-        d = doc[a : a + _ROWS]
-        first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-        sums[d[first]] += np.add.reduceat(signs, first, axis=0, dtype=np.int32)
-    return np.packbits(sums > 0, axis=1).view(np.uint64)
+    room = 64 - max(rows - 1, 1).bit_length()  # bits of the hash beside the document's number
+    key = np.sort((w.doc.astype(np.uint64) << np.uint64(room)) | (w.h >> np.uint64(64 - room)))
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    times = np.diff(np.append(new, len(key)))
+    key = key[new]
+    doc, h = (key >> np.uint64(room)).astype(np.int64), textvec.mix(key & np.uint64((1 << room) - 1))
+    weight = np.maximum(_WEIGHT // times, 1).astype(float)
+    # per document and byte of the hash a histogram of its values; a table of bits turns it into the sums of 8 bits
+    whole = np.bincount(doc, weight, rows)
+    signs = np.zeros((rows, BITS), bool)
+    for a in range(0, rows, _ROWS):
+        lo, hi = np.searchsorted(doc, (a, a + _ROWS))
+        n = min(_ROWS, rows - a)
+        for half, word in enumerate((h[lo:hi], textvec.mix(h[lo:hi] + np.uint64(0x9E3779B97F4A7C15)))):
+            for byte, values in enumerate(np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8).T):
+                seen = np.bincount((doc[lo:hi] - a) * 256 + values, weight[lo:hi], n * 256).reshape(n, 256)
+                at = half * 64 + byte * 8
+                signs[a : a + n, at : at + 8] = 2 * (seen @ _BYTE_BITS) > whole[a : a + n, None]
+    return np.packbits(signs, axis=1).view(np.uint64)
 
 
 def sketches(w: textvec.Words, rows: int, size: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
