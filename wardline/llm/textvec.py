@@ -82,10 +82,16 @@ def raw(column: pa.Array, tail: str = "\n") -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes give equal hashes wherever they stand."""
+def prefix(buf: np.ndarray) -> np.ndarray:
+    """Sums from which range hashes are differences."""
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers("mul", len(buf)), out=total[1:])
+    return total
+
+
+def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte range; equal bytes give equal hashes wherever they stand. total: prefix(buf), if at hand."""
+    total = prefix(buf) if total is None else total
     h = (total[end] - total[start]) * powers("inv", len(buf) + 1)[start]
     return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
 
@@ -99,6 +105,7 @@ class Words:
     doc: np.ndarray  # index of the document of each word
     first: np.ndarray  # n + 1: the first word of each document
     h: np.ndarray  # hash of each word
+    total: np.ndarray | None = None  # prefix sums of buf
 
 
 def words(column: pa.Array, lower: bool = True) -> Words:
@@ -111,7 +118,8 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     start, end = edge[0::2], edge[1::2]
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(buf, offsets, start, end, doc, first, range_hash(buf, start, end))
+    total = prefix(buf)
+    return Words(buf, offsets, start, end, doc, first, range_hash(buf, start, end, total), total)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
