@@ -35,7 +35,7 @@ from wardline.llm import common, textvec
 BITS = 128
 #: Distance (bits of 128) for which the forest's recall is planned, and up to which pairs that it meets are verified.
 PLANNED, BOUNDARY = 20, 28
-TARGET_RECALL = 0.92
+TARGET_RECALL = 0.95
 SHINGLE = 3
 SKETCH = 128
 #: Jaccard similarity of 3-shingles from which a pair is a near copy.
