@@ -42,9 +42,20 @@ def tail(text: Column, most: int = TAIL) -> Column:
     return F.when(F.length(text) > most, F.right(text, F.lit(most))).otherwise(text)
 
 
+def _possible(text: Column, label: str, pattern: str) -> Column:
+    """False where a pattern of the catalogue can't match, found by a cheaper test."""
+    out = F.lit(True)
+    if PII.get(label) == pattern:
+        if label in NEEDS:
+            out = F.contains(text, F.lit(NEEDS[label]))
+        if r"\d" in pattern:
+            out = out & text.rlike(r"(?U)\d")
+    return out
+
+
 def first_matches(text: Column, patterns: dict[str, str], flags: str = DIALECT) -> Column:
     """array<struct<label, span>>: the first match of each pattern that has one, in the patterns' order."""
-    hits = [F.when((F.contains(text, F.lit(NEEDS[k])) if p == PII.get(k) and k in NEEDS else F.lit(True)) & text.rlike(flags + p), F.struct(F.lit(k).alias("label"), F.regexp_extract(text, flags + p, 0).alias("span"))) for k, p in patterns.items()]
+    hits = [F.when(_possible(text, k, p) & text.rlike(flags + p), F.struct(F.lit(k).alias("label"), F.regexp_extract(text, flags + p, 0).alias("span"))) for k, p in patterns.items()]
     return F.array_compact(F.array(*hits))
 
 
