@@ -230,6 +230,46 @@ def test_near_duplicates_recall(spark):
         assert near[a]
 
 
+def noisy_copies(n, replaced, length=240, seed=7):
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(5000)}"
+    original = [word() for _ in range(length)]
+    return [original] + [[word() if r.random() < replaced else x for x in original] for _ in range(n)]
+
+
+def test_hot_group_of_noisy_copies(spark):
+    """Copies that resemble their original, but each other less, end in its group."""
+    texts = [" ".join(w) for w in noisy_copies(400, 0.09)]
+    docs = spark.createDataFrame([((i or 1000), t) for i, t in enumerate(texts)], "doc_id long, text string")  # the original comes last
+    keep = {r.doc_id: r.keep_id for r in neardup.duplicates(docs).collect()}
+    first = shingle_set(texts[0])
+    close = [i for i, t in enumerate(texts) if i and len(first & shingle_set(t)) / len(first | shingle_set(t)) >= 0.6]
+    joined = sum(keep.get(i, i) == keep.get(1000, 1000) for i in close)
+    assert len(close) > 100 and joined >= 0.9 * len(close), (joined, len(close))
+
+
+def test_verified_pairs_within_clusters_and_labels(spark):
+    texts = [" ".join(w) for w in noisy_copies(60, 0.09)]
+    points = neardup.points(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("same").cache()
+    got = {r.doc_id: r for r in points.collect()}
+    sketch = {i: set(r.sketch) for i, r in got.items()}
+
+    def alike(a, b):
+        union = sorted(sketch[a] | sketch[b])[: neardup.SKETCH]
+        return len(set(union) & sketch[a] & sketch[b]) / len(union) >= neardup.MIN_JACCARD
+
+    def near(a, b):
+        return sum(((got[a][c] ^ got[b][c]) & (2**64 - 1)).bit_count() for c in ("hi", "lo")) <= neardup.BOUNDARY
+
+    want = [(a, b) for a in got for b in got if a < b and near(a, b) and alike(a, b)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(len(texts) - 1)], "a long, b long")
+    group = lambda df: {r.doc_id: r.keep_id for r in neardup.components(df).collect()}
+    brute = group(spark.createDataFrame(want, "a long, b long"))
+    assert len(brute) > 20 and group(neardup.verified(chain, points, len(texts))) == brute
+    by_label = [(r.a, r.b) for r in neardup.verified(chain, points, len(texts), largest=10, target=0.999999).collect()]
+    assert set(by_label) <= set(want) and group(spark.createDataFrame(by_label, "a long, b long")) == brute
+
+
 def test_forest_edges_span_the_close_pairs():
     rng = np.random.default_rng(0)
     n = 300

@@ -7,12 +7,13 @@ bits. A point's label is a prefix of the permuted bits whose depth follows the d
 deep enough that a prefix holds few of that many random points. From that depth the
 search climbs to shorter prefixes while the recall of pairs at the planned distance,
 over all tries, is below the target and another trie costs more than the climb. Points
-that share a label are compared bit by bit; pairs within the (wider) boundary are
-verified by the Jaccard similarity of their sketches; groups are the connected
-components of verified pairs, and the smallest doc_id of each stays.
-
-Within a label only a spanning forest of the close pairs is passed on: enough for the
-groups, and linear in the label's size even where thousands of copies meet.
+that share a label are compared bit by bit, and a spanning forest of the pairs within
+the (wider) boundary is passed on: linear in the label's size even where thousands of
+copies meet. It only tells which points to compare: all of a cluster that it connects
+are compared again with their sketches, and a pair within the boundary is passed over
+only if pairs that were verified by the Jaccard similarity of their sketches join it
+already. Groups are the connected components of verified pairs, and the smallest doc_id
+of each stays.
 
 Nulls and the like: null texts and null ids are in no group; texts without any word
 match only if they are equal; rows that repeat a doc_id share its fate (a document is
@@ -43,6 +44,10 @@ MIN_JACCARD = 0.55
 _WEIGHT = 12
 #: Documents whose histograms are held at once.
 _ROWS = 1 << 12
+#: Sketches that are compared with one at a time.
+_COMPARED = 1 << 12
+#: Points of a cluster that one task compares with each other.
+LARGEST = 100_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
 
 
@@ -172,12 +177,10 @@ def forest_edges(label: np.ndarray, ids: np.ndarray, sig: np.ndarray, boundary:
     return ids[np.array(a_out, np.int64)], ids[np.array(b_out, np.int64)]
 
 
-def candidate_pairs(sigs: DataFrame, n: int, boundary: int = BOUNDARY, target: float = TARGET_RECALL) -> DataFrame:
-    """(a, b) distinct pairs of points, a < b, that the forest finds within the boundary."""
-    tries, depth = plan(n, target=target)
+def labeller(tries: int, depth: int):
+    """A map of Arrow batches: the rows once for each try, after the label they have in it."""
     rng = np.random.default_rng(20240229)
     picked = np.stack([rng.permutation(BITS)[:depth] for _ in range(tries)])
-    parts = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * tries // 1_000_000))
 
     def labels(batches):
         for batch in batches:
@@ -189,7 +192,15 @@ def candidate_pairs(sigs: DataFrame, n: int, boundary: int = BOUNDARY, target: f
                 label = np.full(batch.num_rows, t, np.uint64)
                 for k in picked[t]:
                     label = (label << np.uint64(1)) | bits[:, k]
-                yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64)), batch.column("doc_id"), batch.column("hi"), batch.column("lo")], ["label", "doc_id", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64)), *batch.columns], ["label", *batch.schema.names])
+
+    return labels
+
+
+def candidate_pairs(sigs: DataFrame, n: int, boundary: int = BOUNDARY, target: float = TARGET_RECALL) -> DataFrame:
+    """(a, b) distinct pairs of points, a < b, that the forest finds within the boundary."""
+    tries, depth = plan(n, target=target)
+    parts = max(int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * tries // 1_000_000))
 
     def compare(batches):
         """Rows come sorted by label; a label may run over batches."""
@@ -213,32 +224,101 @@ def candidate_pairs(sigs: DataFrame, n: int, boundary: int = BOUNDARY, target: f
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    flat = sigs.select("doc_id", "hi", "lo").mapInArrow(labels, "label long, doc_id long, hi long, lo long")
+    flat = sigs.select("doc_id", "hi", "lo").mapInArrow(labeller(tries, depth), "label long, doc_id long, hi long, lo long")
     return flat.repartition(parts, "label").sortWithinPartitions("label", "doc_id").mapInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """From two bottom-k sketches; exact where both hold fewer than size hashes."""
-    union = np.union1d(a, b)
-    if len(a) >= size or len(b) >= size:
-        union = union[:size]
-    return float(np.isin(union, a).astype(bool)[np.isin(union, b)].sum() / len(union)) if len(union) else 0.0
-
-
-def verify(pairs: DataFrame, sketched: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """The pairs whose sketches are alike."""
+def jaccards(values: np.ndarray, offsets: np.ndarray, one: int, others: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """Of sketch one with each of the others, from the bottom-k sketches; exact where both hold fewer than size hashes."""
+    own, first, many = values[offsets[one] : offsets[one + 1]], offsets[others], offsets[others + 1] - offsets[others]
+    if not len(own) or not many.sum():
+        return np.zeros(len(others))
+    row = np.repeat(np.arange(len(others)), many)
+    begin = np.cumsum(many) - many
+    q = np.arange(len(row)) - begin[row]
+    v = values[first[row] + q]
+    p = np.minimum(np.searchsorted(own, v), len(own) - 1)
+    hit = np.flatnonzero(own[p] == v)
+    common_ = np.bincount(row[hit], minlength=len(others))
+    before = np.arange(len(hit)) - (np.cumsum(common_) - common_)[row[hit]]
+    union = len(own) + many - common_
+    cut = np.where((len(own) >= size) | (many >= size), np.minimum(union, size), union)
+    inside = p[hit] + q[hit] - before < cut[row[hit]]  # the place in the ordered union
+    return np.bincount(row[hit][inside], minlength=len(others)) / cut
+
+
+def verified_edges(sig: np.ndarray, values: np.ndarray, offsets: np.ndarray, boundary: int, min_jaccard: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the boundary whose sketches are alike: a pair is passed over only if verified pairs join it already."""
+    n = len(sig)
+    comp, out = np.arange(n), []
+    for i in range(n - 1):
+        near = popcount(sig[i, 0] ^ sig[i + 1 :, 0]).astype(np.int16) + popcount(sig[i, 1] ^ sig[i + 1 :, 1]) <= boundary
+        other = np.flatnonzero(near) + i + 1
+        other = other[comp[other] != comp[i]]
+        for a in range(0, len(other), _COMPARED):
+            part = other[a : a + _COMPARED]
+            alike = part[jaccards(values, offsets, i, part) >= min_jaccard]
+            for j in alike.tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((i, j))
+    return out
+
+
+def verified(pairs: DataFrame, points: DataFrame, n: int, boundary: int = BOUNDARY, target: float = TARGET_RECALL, min_jaccard: float = MIN_JACCARD, largest: int = LARGEST) -> DataFrame:
+    """(a, b): edges that join whatever pairs of points within the boundary and alike in sketch join.
+
+    Points that pairs connect, however indirectly, form a cluster, which one task compares with all sketches at hand. A
+    cluster of more than largest points is compared label by label.
+    """
 
-    def run(batches):
+    def compare(batches):
+        """Rows come sorted by cluster; a cluster may run over batches."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pandas(), batch.column("y").to_pandas()):
-                keep.append(jaccard(x, y) >= min_jaccard)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            key = batch.column("cluster").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and (cut or held[0].column("cluster")[0].as_py() != key[0]):
+                held.append(batch.slice(0, cut))
+                yield from edges(pa.Table.from_batches(held))
+                held = []
+            elif cut:
+                yield from edges(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from edges(pa.Table.from_batches(held))
+
+    def edges(rows: pa.Table):
+        rows = rows.combine_chunks()
+        key, ids = rows.column("cluster").to_numpy(), rows.column("doc_id").to_numpy()
+        sig = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], 1)
+        sketch = rows.column("sketch").combine_chunks()
+        values = sketch.flatten().to_numpy()
+        offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(sketch).to_numpy().astype(np.int64))))
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        found = []
+        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(key)]):
+            found += [(s + i, s + j) for i, j in verified_edges(sig[s:e], values, offsets[s : e + 1], boundary, min_jaccard)]
+        if found:
+            a, b = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+
+    def grouped(rows: DataFrame, parts: int) -> DataFrame:
+        return rows.select("cluster", "doc_id", "hi", "lo", "sketch").repartition(parts, "cluster").sortWithinPartitions("cluster", "doc_id").mapInArrow(compare, "a long, b long")
 
     textvec.tune(pairs.sparkSession)
-    one = sketched.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
-    two = sketched.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    least = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cluster = components(pairs).withColumnRenamed("keep_id", "cluster")
+    big = [r.cluster for r in cluster.groupBy("cluster").count().where(F.col("count") > largest).select("cluster").collect()]
+    rows = points.join(cluster, "doc_id")
+    found = grouped(rows.where(~F.col("cluster").isin(big)), max(least, -(-n // 500_000)))
+    if big:
+        tries, depth = plan(n, target=target)
+        labelled = rows.where(F.col("cluster").isin(big)).select("doc_id", "hi", "lo", "sketch").mapInArrow(labeller(tries, depth), "label long, doc_id long, hi long, lo long, sketch array<int>").withColumnRenamed("label", "cluster")
+        found = found.union(grouped(labelled, max(least, -(-n * tries // 500_000)))).distinct()
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,7 +344,8 @@ def duplicates(docs: DataFrame, boundary: int = BOUNDARY, target: float = TARGET
     exact = common.staged(exact.distinct(), "near-exact")
     chosen = exact.where("doc_id = point").select(F.col("point").alias("doc_id"))
     unique = common.staged(all_points.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "hi", "lo", "sketch"), "near-unique")
-    pairs = common.staged(candidate_pairs(unique, unique.count(), boundary, target), "near-pairs")
-    groups = components(verify(pairs, unique, min_jaccard))
+    n = unique.count()
+    pairs = common.staged(candidate_pairs(unique, n, boundary, target), "near-pairs")
+    groups = components(verified(pairs, unique, n, boundary, target, min_jaccard))
     whole = exact.join(groups.select(F.col("doc_id").alias("point"), "keep_id"), "point", "left")
     return whole.select("doc_id", F.coalesce("keep_id", "point").alias("keep_id")).where("doc_id <> keep_id").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
