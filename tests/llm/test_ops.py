@@ -105,6 +105,19 @@ def test_ppm_against_brute_force(spark):
         assert got == pytest.approx(want, abs=1e-5)
 
 
+def test_ppm_prices_no_document_by_itself(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "and", "dog"]) for _ in range(30)) for _ in range(24)] + ["".join(chr(r.randrange(33, 127)) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = {x.doc_id: x.f for x in docs.select("doc_id", ppm.fold().alias("f")).collect()}
+    assert len(set(at.values())) == ppm.FOLDS
+    want = {i: brute_ppm([u.encode() for j, u in enumerate(texts) if at[j] != at[i]], t.encode()) for i, t in enumerate(texts)}
+    for limit in (10**6, 0):  # broadcast, joined
+        got = {x.doc_id: x for x in ppm.score(docs, broadcast_entries=limit).collect()}
+        assert {i: x.bits for i, x in got.items()} == pytest.approx(want, abs=1e-5)
+        assert got[24].bits_per_byte > 6 > 3 * np.median([x.bits_per_byte for x in got.values()])
+
+
 def test_ppm_adaptive(spark):
     assert ppm.adaptive_bits(b"") == 0 and ppm.adaptive_bits(b"a") == pytest.approx(8)
     assert ppm.adaptive_bits(b"ab" * 200) < ppm.adaptive_bits(bytes(random.Random(1).randbytes(400))) / 5

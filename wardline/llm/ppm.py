@@ -8,13 +8,18 @@ q / (N + q), where N occurrences of q distinct symbols remain after the symbols
 longer context are excluded. As the symbols of a context are a subset of those of its
 suffix, what is excluded depends on the context alone and is summed once per context.
 
-Code lengths are pretrained (counts of the whole corpus, ``score``) or adaptive
-(``adaptive_bits``: the trie starts empty and learns each byte after coding it).
+Code lengths are pretrained (``score``) or adaptive (``adaptive_bits``: the trie starts
+empty and learns each byte after coding it). Pretrained without counts of its own, a
+corpus is cross-fitted: documents fall into ``FOLDS`` folds by a hash of doc_id, and each
+is priced under the counts of all documents of the other folds, so that no document's
+own strings make it cheap and what only it holds escapes to shorter contexts.
 
 Nulls and the like: a null text gives null bits; an empty one 0 bits over 0 bytes and a
-null rate; a zero byte in a text counts as the padding; equal rows are scored alike, and
-each counts in the corpus; an empty table gives an empty result; columns other than
-doc_id and text are ignored; rows with a null doc_id are scored like any other.
+null rate; a zero byte in a text counts as the padding; rows of one doc_id are in one
+fold, so equal rows are scored alike, and each counts for the other folds; an empty table
+gives an empty result; columns other than doc_id and text are ignored; rows with a null
+doc_id are scored like any other, in a fold together; bytes priced without any counts
+(a corpus of one fold) cost 8 bits.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import common, textvec
@@ -34,6 +40,8 @@ from wardline.llm import common, textvec
 ORDER = 4
 #: Trie entries that are sent to every worker; a larger trie stays distributed and is joined.
 BROADCAST_ENTRIES = 6_000_000
+#: Parts of the corpus, each priced under the counts of the others; and the seed of the hash that deals documents to them.
+FOLDS, SEED = 4, 29
 #: Entries that a task gathers before it hands them on.
 FLUSH = 2_000_000
 
@@ -61,8 +69,12 @@ def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first)
 
 
-def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, n) of every byte string of order + 1 bytes in all documents; tasks count, then one shuffle sums."""
+def fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("long")
+
+
+def _partial_counts(docs: DataFrame, order: int) -> DataFrame:
+    """(key, n) by task, from (text, fold); the fold stands above the order + 1 bytes of the string."""
     textvec.tune(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +86,8 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
         for step in textvec.steps(batches):
-            keys, _ = gram_keys(step.column("text"), order)
+            keys, offsets = gram_keys(step.column("text"), order)
+            keys |= np.repeat(step.column("fold").to_numpy() << (8 * (order + 1)), np.diff(offsets))
             if len(keys):
                 found = pc.value_counts(pa.array(keys))
                 held.append((found.field("values").to_numpy(), found.field("counts").to_numpy()))
@@ -88,10 +101,23 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if held:
             yield flush()
 
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "key long, n long")
+    return docs.mapInArrow(count, "key long, n long")
+
+
+def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n) of every byte string of order + 1 bytes in all documents; tasks count, then one shuffle sums."""
+    partial = _partial_counts(docs.select(F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("fold")), order)
     return partial.groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def other_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n0, n1, ...): of every byte string, how often it occurs outside of each fold."""
+    bits = 8 * (order + 1)
+    partial = _partial_counts(docs.select("text", fold().alias("fold")), order)
+    split = partial.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("key"), F.shiftright("key", bits).alias("fold"), "n")
+    return split.groupBy("key").agg(*(F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)))
+
+
 class Trie:
     """Contexts of up to order bytes; bits() gives the code length of the last byte of each key."""
 
@@ -192,13 +218,20 @@ _held: dict[str, tuple] = {}
 
 
 def score(docs: DataFrame, counts: DataFrame | None = None, order: int = ORDER, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """doc_id, n_bytes, bits, bits_per_byte of each document under a trie of counts (those of docs itself by default)."""
+    """doc_id, n_bytes, bits, bits_per_byte of each document under a trie of counts (by default those of docs in the other folds)."""
     own = common.id_text(docs)
-    counts = common.staged(counts if counts is not None else corpus_counts(own, order), "ppm-counts")
+    if counts is not None:
+        return _score(own, common.staged(counts, "ppm-counts"), order, broadcast_entries)
+    others = common.staged(other_counts(own, order), "ppm-counts")
+    parts = [_score(own.where(fold() == k), others.where(F.col(f"n{k}") > 0).select("key", F.col(f"n{k}").alias("n")), order, broadcast_entries) for k in range(FOLDS)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _score(own: DataFrame, counts: DataFrame, order: int, broadcast_entries: int) -> DataFrame:
     if counts.count() > broadcast_entries:
         return _score_joined(own, counts, order)
     got = counts.toArrow()
-    model = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("n").to_numpy()))
+    model = own.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("n").to_numpy()))
     name = uuid.uuid4().hex
 
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
