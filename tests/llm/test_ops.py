@@ -386,6 +386,29 @@ def test_sketch_is_mergeable_and_estimates(spark):
     assert whole == s.where("doc_id = 1").first().sketch
 
 
+def test_passages_of_any_length_are_found(spark):
+    texts = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    docs = spark.createDataFrame([(1000 + i, f"some words before {t} and some after") for i, t in texts.items()], "doc_id long, text string")
+    sparse = fingerprint.containment(fingerprint.sketch(items, "item_id"), fingerprint.sketch(docs), "item_id", "doc_id")
+    found = {r.item_id for r in sparse.collect() if r.doc_id == 1000 + r.item_id}
+    got = {r.item_id: r.contained for r in fingerprint.passages(items, docs).collect() if r.doc_id == 1000 + r.item_id}
+    assert len(found) < len(texts) and got == dict.fromkeys(texts, 1.0)
+
+
+@pytest.mark.parametrize("name", ["fingerprint_containment", "fingerprint_passages"])
+def test_containment_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET lambda_syntax='ENABLE_SINGLE_ARROW'")
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    order = lambda x: tuple(x[c] for c in ("item_id", "doc_id", "shared", "contained"))
+    want = con.sql(registry.SQL[name]).df().to_dict("records")
+    assert want and sorted(map(order, rows(registry.QUERIES[name](spark, SF)))) == sorted(map(order, want))
+
+
 def test_sketch_against_brute_force(documents):
     low = fingerprint.bound(fingerprint.SCALE)
     got = {r.doc_id: r for r in fingerprint.sketch(documents).collect()}

@@ -7,7 +7,8 @@ document's. Sketches of the same fraction merge by union, and the containment of
 text in another, however unequal, is estimated by the share of the first one's sketch
 that the other holds.
 
-Everything is a built-in expression; ``SKETCH_SQL`` is the same query for DuckDB.
+A short passage may have no hash below the bound; ``passages`` therefore compares all
+shingles. Everything is a built-in expression; ``SKETCH_SQL`` is the same query for DuckDB.
 
 Nulls and the like: a null, empty or wordless text has no shingles and an empty sketch;
 repeated shingles count once; equal rows give equal sketches, a row for each; the
@@ -28,7 +29,7 @@ WORD = "[0-9a-zà-öø-ÿßœ]+"
 
 def bound(scale: int) -> str:
     """The first 16 hexadecimal digits that a hash must lie below."""
-    return f"{(1 << 64) // scale:016x}"
+    return f"{(1 << 64) // scale:016x}" if scale > 1 else "g"
 
 
 def words_of(text: Column) -> Column:
@@ -64,6 +65,11 @@ def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: s
     return met.select(small_key, large_key, "shared", F.round(F.col("shared") / F.col("_n"), 6).alias("contained"))
 
 
+def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id, shared, contained: the exact share of each item's shingles in each document that has any of them. The items' hashes go to every worker."""
+    return containment(F.broadcast(sketch(items, "item_id", scale=1)), sketch(docs, scale=1), "item_id", "doc_id")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The sketch of each document, its hashes joined by commas."""
     return sketch(docs).select("doc_id", "n_shingles", "n_kept", F.array_join("sketch", ",").alias("sketch"))
@@ -76,6 +82,13 @@ FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w
 
 
 SKETCH_SQL = f"SELECT doc_id, n_shingles, len(sketch) AS n_kept, array_to_string(sketch, ',') AS sketch FROM ({_sql('documents', 'doc_id')})"
-CONTAINMENT_SQL = f"""WITH s AS ({_sql('benchmark', 'item_id')}), l AS ({_sql('documents', 'doc_id')}),
+
+
+def _containment_sql(scale: int) -> str:
+    return f"""WITH s AS ({_sql('benchmark', 'item_id', scale=scale)}), l AS ({_sql('documents', 'doc_id', scale=scale)}),
 a AS (SELECT item_id, len(sketch) AS n, unnest(sketch) AS h FROM s), b AS (SELECT doc_id, unnest(sketch) AS h FROM l)
 SELECT item_id, doc_id, count(*) AS shared, round(count(*) / n, 6) AS contained FROM a JOIN b USING (h) GROUP BY item_id, doc_id, n"""
+
+
+CONTAINMENT_SQL = _containment_sql(SCALE)
+PASSAGES_SQL = _containment_sql(1)

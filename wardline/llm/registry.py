@@ -37,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mixing": on("documents", mixing.rates),
     "op10_personal_data": on("documents", pii.scan),
     "fingerprint_containment": _contained,
+    "fingerprint_passages": lambda spark, sf_dir: fingerprint.passages(common.table(spark, sf_dir, "benchmark"), common.table(spark, sf_dir, "documents")),
 }
 
-SQL: dict[str, str] = {"op7_fingerprints": fingerprint.SKETCH_SQL, "fingerprint_containment": fingerprint.CONTAINMENT_SQL}
+SQL: dict[str, str] = {"op7_fingerprints": fingerprint.SKETCH_SQL, "fingerprint_containment": fingerprint.CONTAINMENT_SQL, "fingerprint_passages": fingerprint.PASSAGES_SQL}
