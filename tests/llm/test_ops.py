@@ -505,6 +505,19 @@ def test_pii_cases(text, want):
     assert [k for _, _, k in pii.find(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call +33 12 34 56 78 now", ["PHONE"]), ("+49 30 123 456", ["PHONE"]), ("call (030) 123-456.", ["PHONE"]), ("030 123 456", ["PHONE"]), ("call 030-123.456 now", ["PHONE"]), ("+49.30.123.456", ["PHONE"]), ("030.123.456", ["PHONE"]),
+        ("apiKey=abcd1234efgh", ["SECRET"]), ("Api_Key: abcd1234efgh", ["SECRET"]), ("API-key=abcd1234efgh", ["SECRET"]), ("İ PassWord=abcd1234efgh", ["SECRET"]),
+        ("from 3 to 12, 10-12 of 1 2 3", []), ("chapter (3) and +5", []),
+    ],
+)
+def test_pii_short_groups_and_cues_of_any_case(text, want):
+    spans = pii.find(text)
+    assert [k for _, _, k in spans] == want and pii.find(pii.redact(text, spans)) == []
+
+
 def test_pii_against_patterns(documents):
     for r in documents.collect():
         spans = pii.find(r.text)

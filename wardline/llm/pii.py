@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors: at-signs, scheme separators, cues such as
-"token" or "password", digit groups and dotted digits. From each anchor a deterministic
+"token" or "password" (in any case), groups of four digits, digits after a plus sign or
+an opening bracket or on both sides of a separator, and dotted digits. From each anchor a deterministic
 parser walks outwards over the characters its kind allows, fixes the boundaries and
 validates what it holds: e-mail addresses (local part, domain labels, alphabetic top
 level), URLs with credentials, IPv4 addresses (four octets up to 255), payment cards
@@ -159,11 +160,26 @@ def _automaton() -> ahocorasick.Automaton:
     for kind, words in (("@", ["@"]), ("s", ["://"]), ("d", [f".{d}" for d in range(10)]), ("k", PREFIXES), ("b", ["-----BEGIN "])):
         for x in words:
             found.add_word(x, (kind, len(x)))
-    for x in CUES:
-        for form in {x, x.upper(), x.capitalize()}:
-            found.add_word(form, ("c", len(x)))
     for n in range(10_000):
         found.add_word(f"{n:04d}", ("n", 4))
+    for a in range(10):
+        found.add_word(f"+{a}", ("n", 2))
+        found.add_word(f"({a}", ("n", 2))
+        for separator in " -.":
+            for b in range(10):
+                found.add_word(f"{a}{separator}{b}", ("n", 3))
+    found.make_automaton()
+    return found
+
+
+#: Capital letters of the cues; every other character keeps its place and its length.
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _cues() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for x in CUES:
+        found.add_word(x, len(x))
     found.make_automaton()
     return found
 
@@ -171,11 +187,16 @@ def _automaton() -> ahocorasick.Automaton:
 _held: list[ahocorasick.Automaton] = []
 
 
+def _folded(text: str) -> str:
+    """The text with its ASCII letters in lower case; every character keeps its place."""
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
 def find(text: str) -> list[Span]:
     """The findings of a text as (start, end, kind), in order and without overlap."""
     if not _held:
-        _held.append(_automaton())
-    spans: list[Span] = []
+        _held.extend((_automaton(), _cues()))
+    spans: list[Span] = [got for end, _ in _held[1].iter(_folded(text)) if (got := assigned(text, end + 1))]
     run_end = 0
     for end, (kind, size) in _held[0].iter(text):
         start = end + 1 - size
@@ -192,8 +213,6 @@ def find(text: str) -> list[Span]:
             got = account(text, start, 0)
         elif kind == "d":
             got = dotted(text, start, 0)
-        elif kind == "c":
-            got = assigned(text, end + 1)
         elif kind == "s":
             got = scheme(text, start, 0)
         elif kind == "k":
