@@ -308,6 +308,44 @@ def test_forest_edges_span_the_close_pairs():
     assert groups(zip(a, b)) == groups(close) and len(a) < n
 
 
+def test_copies_are_found_however_rows_are_cut(spark):
+    """Signatures depend on the text alone: neither on the partition nor on the size of the step."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["one", "two", "tree", "lake", "hill", "sand", "wind", "snow", "road", "fish"]) + str(r.randrange(90)) for _ in range(30)) for _ in range(100)]
+    w = textvec.words(pa.array(texts))
+    whole = neardup.simhash(w, len(texts))
+    for size in (1, 2, 5, 33, 64):
+        for a in range(0, len(texts), size):
+            assert (neardup.simhash(textvec.words(pa.array(texts[a : a + size])), len(texts[a : a + size])) == whole[a : a + size]).all()
+    first = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    again = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, 7, 50):
+        got = {x.doc_id: x.keep_id for x in neardup.duplicates(first.coalesce(1).union(again.repartition(parts))).collect()}
+        assert got == {1000 + i: i for i in range(100)}
+
+
+def test_dense_prefixes_go_deeper_and_lose_no_cluster(spark):
+    """With labels of ten points at most, all levels and the blocks are used."""
+    texts = [" ".join(w) for seed in range(6) for w in noisy_copies(25, 0.03, seed=seed)]
+    points = neardup.points(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("same").cache()
+    group = lambda df: {r.doc_id: r.keep_id for r in neardup.components(df).collect()}
+    plain = group(neardup.candidate_pairs(points, len(texts), dense=10_000, min_jaccard=0.55, target=0.999999))
+    assert set(plain.values()) == {26 * k for k in range(6)}
+    assert group(neardup.candidate_pairs(points, len(texts), dense=10, min_jaccard=0.55)) == plain
+    assert group(neardup.candidate_pairs(points, len(texts), dense=10)) == plain
+
+
+def test_blocks_compare_every_far_point_with_all(spark):
+    rng = np.random.default_rng(1)
+    sig = rng.integers(-(2**63), 2**63 - 1, (20, 2))[rng.integers(0, 20, 90)] ^ (1 << rng.integers(0, 40, (90, 2)))
+    met = spark.createDataFrame([(7, i, int(a), int(b), 0, i % 3 == 0) for i, (a, b) in enumerate(sig)], "key long, doc_id long, hi long, lo long, pivot long, far boolean")
+    sizes = spark.createDataFrame([(7, 90)], "key long, n long")
+    want = [(i, j) for i in range(90) for j in range(90) if i != j and i % 3 == 0 and sum((int(x) & (2**64 - 1)).bit_count() for x in sig[i] ^ sig[j]) <= 6]
+    group = lambda pairs: {r.doc_id: r.keep_id for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = [(r.a, r.b) for r in neardup.in_blocks(met, sizes, 8, 6, None).collect()]
+    assert want and group(got) == group(want)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 103)], "a long, b long")
     got = {r.doc_id: r.keep_id for r in neardup.components(edges).collect()}
