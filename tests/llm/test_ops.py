@@ -31,11 +31,15 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+def true_tokens(text):
+    return len(tokencount.counter().encoding.encode_ordinary(text or ""))
+
+
 def rows(df):
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-DOC_QUERIES = {"op1": ppm.score, "op2": langid.identify, "op4": license.scan, "op5": neardup.duplicates, "op6": packing.pack, "op7": fingerprint.fingerprints, "op8": registry._revised, "op9": mixing.rates, "op10": pii.scan, "redacted": pii.redacted, "mixed": mixing.mixed, "kept": langid.keep_identified, "joined": lambda d: ppm.score(d, broadcast_entries=0)}
+DOC_QUERIES = {"op1": ppm.score, "op2": langid.identify, "op4": license.scan, "op5": neardup.duplicates, "op6": packing.pack, "op7": fingerprint.fingerprints, "op8": tokencount.revised, "op9": mixing.rates, "op10": pii.scan, "redacted": pii.redacted, "mixed": mixing.mixed, "kept": langid.keep_identified, "joined": lambda d: ppm.score(d, broadcast_entries=0)}
 
 
 @pytest.mark.parametrize("name", DOC_QUERIES)
@@ -54,10 +58,10 @@ def test_odd_rows(odd):
     assert len(lang) == 8 and {r["doc_id"]: r["predicted"] for r in lang} == {None: "en", 1: "en", 2: None, 3: None, 5: None, 6: "la", 7: "en"}
     assert sorted((r["doc_id"], r["keep_id"]) for r in rows(neardup.duplicates(odd))) == [(7, 1)]
     packed = rows(packing.pack(odd))
-    assert sum(r["n_tokens"] for r in packed) == 4 * 3 + 2 + 12 - 0 + 270_000 and sum(r["bin"] is None for r in packed) == 2
+    assert sum(r["n_tokens"] for r in packed) == sum(true_tokens(r["text"]) for r in rows(odd)) and sum(r["bin"] is None for r in packed) == 2
     prints = {r["doc_id"]: r["n_shingles"] for r in rows(fingerprint.fingerprints(odd))}
     assert prints[1] == 1 and prints[2] == prints[3] == prints[5] == 0 and prints[6] == 5
-    counts = {r["doc_id"]: r["n_tokens"] for r in rows(registry._revised(odd))}
+    counts = {r["doc_id"]: r["n_tokens"] for r in rows(tokencount.revised(odd))}
     assert counts[2] is None and counts[3] == 0 and counts[1] == 3
     found = {r["doc_id"]: r for r in rows(pii.scan(odd))}
     assert found[None]["spans"] == "EMAIL:19-41" and found[2]["text"] is None and found[6]["n_pii"] == 0
@@ -395,9 +399,25 @@ def test_place_against_brute_force(sizes, freely):
     assert sorted(final) == brute_pack(sizes, packing.LENGTHS, freely)
 
 
+def test_best_tries_every_set_of_lengths():
+    r = random.Random(6)
+    sets = [frozenset(x for k, x in enumerate(packing.LENGTHS) if m >> k & 1) for m in range(1, 32)]
+    for _ in range(20):
+        sizes = sorted((min(8192, int(r.lognormvariate(6, 1.2)) + 1) for _ in range(60)), reverse=True)
+        want = min(packing.place(sizes, packing.LENGTHS, s)[3] for s in sets)
+        assert packing.best(sizes, packing.LENGTHS)[3] == want <= min(packing.place(sizes, packing.LENGTHS, m)[3] for m in packing.LENGTHS)
+
+
+def test_repeated_ids_fill_no_shard(spark):
+    docs = spark.createDataFrame([(None, "some words of a text")] * 300 + [(5, "some words of a text")] * 300, "doc_id long, text string")
+    got = rows(packing.pack(docs, per_shard=100))
+    assert len(got) == 600 and len({r["bin"] >> 32 for r in got}) == 6
+    assert max(Counter(r["bin"] >> 32 for r in got).values()) < 200
+
+
 def test_pack_places_everything(documents):
     got = rows(packing.pack(documents, per_shard=60))
-    want = Counter({r.doc_id: -(-len(r.text.encode()) // 4) for r in documents.collect()})
+    want = Counter({r.doc_id: true_tokens(r.text) for r in documents.collect()})
     have = Counter()
     for r in got:
         have[r["doc_id"]] += r["n_tokens"]
@@ -477,6 +497,56 @@ def test_edits_count_like_the_whole_text(parts, edits):
         assert [p for b in tree.blocks for p in b] == c.split.findall(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab'srevltmd 1 2\n\n\t.,é　漢½ñ"), st.text()), max_size=6))
+def test_counts_of_many_texts_at_once(texts):
+    c = tokencount.counter()
+    texts = [None if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    doc, chars, _ = c.pieces(pa.array(texts, pa.string()))
+    assert [len(p) for t in texts for p in c.split.findall(t or "")] == chars.tolist() and c.totals(pa.array(texts, pa.string())).tolist() == [true_tokens(t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ALPHABET, max_size=12), st.lists(st.tuples(st.integers(0, 400), st.integers(0, 30), ALPHABET), max_size=4))
+def test_kept_trees_take_edits(parts, edits):
+    """From the sums of blocks alone, edits count like the whole text."""
+    text, c = "".join(parts) * 9, tokencount.counter()
+    whole = tokencount.Tree(text, c)
+    kept = whole.chars[whole.leaves : whole.leaves + len(whole.blocks)], whole.tokens[whole.leaves : whole.leaves + len(whole.blocks)]
+    tree = tokencount.Tree(text, c, kept)
+    assert tree.total == whole.total
+    for start, size, new in edits:
+        start = min(start, len(text))
+        tree.edit(start, start + size, new)
+        text = text[:start] + new + text[start + size :]
+        assert tree.total == true_tokens(text)
+    assert tree.text() == text
+
+
+def test_trees_and_edits_in_spark(spark, documents):
+    kept = {r.doc_id: r for r in tokencount.trees(documents).collect()}
+    for r in documents.collect():
+        pieces = tokencount.counter().split.findall(r.text)
+        assert kept[r.doc_id].n_tokens == sum(kept[r.doc_id].tokens) == true_tokens(r.text)
+        assert list(kept[r.doc_id].chars) == [sum(map(len, pieces[i : i + tokencount.BLOCK])) for i in range(0, len(pieces), tokencount.BLOCK)]
+    text = "the cat sat on the mat and slept"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text), (3, None), (4, "")], "doc_id long, text string")
+    edit = "doc_id long, edits array<struct<start int, stop int, new string>>"
+    edits = spark.createDataFrame([(1, [(4, 7, "dog")]), (1, [(0, 3, "A")]), (None, [(0, 0, "Oh, ")]), (2, [(0, 7, "x"), (5, 9, "y")]), (3, [(0, 1, "z")]), (4, [(0, 9, "new text")])], edit)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_tokens_edited) for r in tokencount.count_edits(docs, edits).collect() if r.doc_id != 3)
+    n = true_tokens(text)
+    assert got == [(0, n, true_tokens("Oh, " + text)), (1, n, true_tokens(text.replace("the cat", "A dog"))), (1, n, true_tokens(text.replace("the cat", "A dog"))), (2, n, None), (4, 0, true_tokens("new text"))]
+
+
+def test_revisions_count_like_whole_texts(documents):
+    got = {r.doc_id: r for r in tokencount.revised(documents).collect()}
+    for r in documents.collect():
+        t, n = r.text, len(r.text)
+        a, b = n // 2, min(max(n * 3 // 4 + 24, n // 2 + 20), n)
+        new = "Revised: " + t[:a] + " it's 2024, isn't it? " + t[min(a + 20, n) : b] + t[min(b + 10, n) :]
+        assert got[r.doc_id].n_tokens_edited == true_tokens(new)
+
+
 def test_edits_touch_little():
     text = "the quick brown fox jumps over the lazy dog. " * 500
     tree = tokencount.Tree(text, tokencount.counter())
@@ -493,7 +563,7 @@ def test_mixing_meets_targets(spark, documents):
     s = mixing.solve(df, t, ("source", "lang"))
     got = rows(mixing.rates(df.select("doc_id", "text", "source", "lang"), mixing.Solution(("source",), s.scale, {k: v for k, v in s.multipliers.items() if k[0] == "source"}, 0)))
     assert len(got) == 200
-    tokens = {r.doc_id: (r.source, r.lang, -(-len(r.text.encode()) // 4)) for r in df.collect()}
+    tokens = {r.doc_id: (r.source, r.lang, true_tokens(r.text)) for r in df.collect()}
     sums = defaultdict(float)
     for src, lang, n in tokens.values():
         w = math.exp(n / s.scale * (s.multipliers.get(("source", src), 0) + s.multipliers.get(("lang", lang), 0)))
@@ -504,6 +574,37 @@ def test_mixing_meets_targets(spark, documents):
             assert sums[dim, v] == pytest.approx(goal, rel=1e-5)
 
 
+def test_mixing_against_an_independent_solver(documents):
+    """One dimension: each source's multiplier is the root of a monotone function, found here by bisection."""
+    docs = documents.collect()
+    have = Counter()
+    for r in docs:
+        have[r.source] += true_tokens(r.text)
+    goal = {s: n * k for (s, n), k in zip(sorted(have.items()), (0.5, 1.7, 1.0, 3.0, 0.9, 1.2))}
+    s = mixing.solve(documents, {"source": goal})
+    got = {r.doc_id: r.rate for r in mixing.rates(documents, s).collect()}
+    for source, target in goal.items():
+        mine = {r.doc_id: true_tokens(r.text) for r in docs if r.source == source}
+        lo, hi = -1.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * math.exp(min(n * mid, 500)) for n in mine.values()) < target else (lo, mid)
+        for i, n in mine.items():
+            assert got[i] == pytest.approx(math.exp(n * lo), rel=1e-5)
+
+
+def test_targets_that_cannot_be_met_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a", "x"), (2, "four five", "a", "x")], "doc_id long, text string, source string, lang string")
+    with pytest.raises(ArithmeticError):
+        mixing.solve(docs, {"source": {"a": 10.0}, "lang": {"x": 20.0}}, ("source", "lang"))
+    far = spark.createDataFrame([(1, "one two three " * 9, "a"), (2, "four", "b")], "doc_id long, text string, source string")
+    s = mixing.solve(far, {"source": {"a": 1e9, "b": 5.0}})
+    sums = defaultdict(float)
+    for r in mixing.rates(far, s).collect():
+        sums[r.source] += r.rate * r.n_tokens
+    assert sums["a"] == pytest.approx(1e9, rel=1e-4) and sums["b"] == pytest.approx(5, rel=1e-4)
+
+
 def test_default_targets_shrink_nothing(documents):
     got = rows(mixing.rates(documents))
     assert min(r["rate"] for r in got) >= 1 - 1e-6 and min(r["copies"] for r in got) >= 1

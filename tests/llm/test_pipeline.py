@@ -1,7 +1,7 @@
 """The pipeline against its stages applied by hand, in plain Python where that is short."""
 
 import corpus_pipeline
-from wardline.llm import mixing, neardup, packing, pii
+from wardline.llm import mixing, neardup, packing, pii, tokencount
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,8 @@ def test_stages(spark):
     counts = {r.doc_id: r["count"] for r in by["mixing"][1].groupBy("doc_id").count().collect()}
     assert counts == copies
     out = by["packing"][1].collect()
-    want = sum(-(-len(r.text.encode()) // 4) for r in by["mixing"][1].collect())
+    encode = tokencount.counter().encoding.encode_ordinary
+    want = sum(len(encode(r.text)) for r in by["mixing"][1].collect())
     assert sum(r.n_tokens for r in out) == want and all(r.capacity in packing.LENGTHS for r in out)
 
 

@@ -39,6 +39,14 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that the frame doesn't have, however cases are compared."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def map_steps(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
     """fn over pieces of each partition that hold a bounded amount of text."""
     textvec.tune(df.sparkSession)

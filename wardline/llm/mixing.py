@@ -5,8 +5,10 @@ all rates with which every source (or any other dimension's value) reaches its t
 number of tokens, entropy balancing takes those nearest to 1 in relative entropy:
 w_i = exp(t_i * sum of the multipliers of its values). The multipliers minimise the
 convex dual; Newton iterations find them, each one aggregation over the distributed
-(values, tokens) histogram, with steps halved until the dual falls. Rates are rounded to
-copies at random, by a hash of doc_id, so that the expected copies equal the rate.
+(values, tokens) histogram, with steps halved until the dual falls. Tokens are counted by
+the tokenizer over whole texts, once. Rates are rounded to copies at random, by a hash of
+doc_id, so that the expected copies equal the rate. Targets that the iterations can't
+reach are an error.
 
 Default targets raise each source's share of tokens to ``TEMPERATURE`` and take the
 least total for which no source shrinks.
@@ -26,11 +28,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm import common
-from wardline.llm.packing import tokens
+from wardline.llm import common, tokencount
 
 TEMPERATURE = 0.9
-TOLERANCE = 1e-9
+#: Relative error of a target at which the iterations end, that above which they have failed, and their largest number.
+TOLERANCE, FAILED, MOST_ROUNDS = 1e-9, 1e-5, 200
+#: Bound of a rate's logarithm, so that sums stay finite.
+_LARGEST_LOG = 500.0
 SEED = 11
 
 
@@ -49,7 +53,7 @@ class Solution:
             if mine:
                 table = F.map_from_arrays(F.array(*(F.lit(_key(v)) for v, _ in mine)), F.array(*(F.lit(x) for _, x in mine)))
                 total = total + F.coalesce(F.element_at(table, _name(names[d])), F.lit(0.0))
-        return F.exp(total * t / self.scale)
+        return F.exp(F.least(total * t / self.scale, F.lit(_LARGEST_LOG)))
 
 
 def _key(v: str | None) -> str:
@@ -68,9 +72,14 @@ def tempered(totals: dict[str | None, float], temperature: float = TEMPERATURE)
     return {s: factor * w for s, w in weight.items()}
 
 
-def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, dims: tuple[str, ...] = ("source",), most: int = 60) -> Solution:
+def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, dims: tuple[str, ...] = ("source",), most: int = MOST_ROUNDS) -> Solution:
     """The multipliers that meet targets: {dimension: {value: tokens}}; by default the tempered shares of the first dimension."""
-    counted = docs.select(*(_name(F.col(d)).alias(f"d{k}") for k, d in enumerate(dims)), tokens(F.col("text")).alias("t")).where("t > 0")
+    return solve_counted(tokencount.token_counts(docs, dims), targets, dims, most)
+
+
+def solve_counted(counts: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, dims: tuple[str, ...] = ("source",), most: int = MOST_ROUNDS, t: str = "n_tokens") -> Solution:
+    """The same from rows that hold the dimensions and the tokens of each document."""
+    counted = counts.select(*(_name(F.col(d)).alias(f"d{k}") for k, d in enumerate(dims)), F.col(t).alias("t")).where("t > 0")
     cells = common.staged(counted.groupBy(*(f"d{k}" for k in range(len(dims))), "t").agg(F.count("*").alias("n")), "mix-cells")
     groups = [f"d{k}" for k in range(len(dims))]
     base = cells.groupBy(*groups).agg(F.sum(F.col("n") * F.col("t")).alias("s"), F.sum("n").alias("n")).collect()
@@ -97,7 +106,7 @@ def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None =
             if mine:
                 total = total + F.coalesce(F.element_at(F.map_from_arrays(F.array(*(F.lit(v) for v, _ in mine)), F.array(*(F.lit(float(x)) for _, x in mine))), F.col(f"d{k}")), F.lit(0.0))
         x = F.col("t") / scale
-        w = F.col("n") * F.exp(F.least(total * x, F.lit(500.0)))
+        w = F.col("n") * F.exp(F.least(total * x, F.lit(_LARGEST_LOG)))
         f, g, h = -float(lam @ goal), -goal.copy(), np.zeros((len(names), len(names)))
         for r in cells.groupBy(*groups).agg(F.sum(w).alias("w0"), F.sum(w * x).alias("w1"), F.sum(w * x * x).alias("w2")).collect():
             at = [index[k, r[f"d{k}"]] for k in range(len(dims)) if (k, r[f"d{k}"]) in index]
@@ -118,6 +127,8 @@ def solve(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None =
                 break
             size /= 2
         lam, (f, g, h) = lam + size * step, new
+    if names and (left := np.abs(g / np.maximum(goal, 1)).max()) > FAILED:
+        raise ArithmeticError(f"targets are missed by {left:.2g} after {rounds} rounds")
     return Solution(dims, scale, {(dims[k], None if v == "n" else v[1:]): float(lam[i]) for (k, v), i in index.items()}, rounds)
 
 
@@ -129,16 +140,19 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 def rates(docs: DataFrame, solution: Solution | None = None) -> DataFrame:
     """doc_id, source, n_tokens, rate, copies: a row for each document."""
-    solution = solution or solve(docs)
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("n_tokens"))
-    rated = one.withColumn("rate", solution.rate(F.col("n_tokens"), {d: F.col(d) for d in solution.dims}))
+    dims = solution.dims if solution else ("source",)
+    counts = common.staged(tokencount.token_counts(docs, tuple(dict.fromkeys(("source", *dims)))), "mix-counts")
+    solution = solution or solve_counted(counts)
+    rated = counts.withColumn("rate", solution.rate(F.col("n_tokens"), {d: F.col(d) for d in dims}))
     return rated.select("doc_id", "source", "n_tokens", F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed(docs: DataFrame, solution: Solution | None = None) -> DataFrame:
     """The documents, each as many times as it has copies, with the columns of docs."""
-    solution = solution or solve(docs)
-    rate = solution.rate(tokens(F.col("text")), {d: F.col(d) for d in solution.dims})
+    t = common.fresh(docs, "n_tokens")
+    counted = common.staged(tokencount.with_counts(docs, t), "mix-docs")
+    solution = solution or solve_counted(counted, t=t)
+    rate = solution.rate(F.col(t), {d: F.col(d) for d in solution.dims})
     many = F.array_repeat(F.lit(0), copies(rate, F.col("doc_id")).cast("int"))
-    struct = docs.select(F.struct(*docs.columns).alias("row"), many.alias("many"))
+    struct = counted.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), many.alias("many"))
     return struct.select("row", F.explode("many")).select("row.*")

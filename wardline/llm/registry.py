@@ -15,11 +15,6 @@ def on(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(common.table(spark, sf_dir, name))
 
 
-def _revised(docs: DataFrame) -> DataFrame:
-    rows = tokencount.revisions(docs)
-    return tokencount.count_edits(rows, rows)
-
-
 def _contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fingerprint.sketch(common.table(spark, sf_dir, "benchmark"), "item_id")
     return fingerprint.containment(items, fingerprint.sketch(common.table(spark, sf_dir, "documents")), "item_id", "doc_id")
@@ -33,7 +28,7 @@ QUERIES: dict[str, Query] = {
     "op5_near_duplicates": on("documents", neardup.duplicates),
     "op6_best_fit_packing": on("documents", packing.pack),
     "op7_fingerprints": on("documents", fingerprint.fingerprints),
-    "op8_token_counts": on("documents", _revised),
+    "op8_token_counts": on("documents", tokencount.revised),
     "op9_source_mixing": on("documents", mixing.rates),
     "op10_personal_data": on("documents", pii.scan),
     "fingerprint_containment": _contained,
