@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -134,14 +136,66 @@ def test_ppm_adaptive(spark):
 
 def test_language_held_out(spark, documents):
     model = langid.train(documents.where("doc_id % 2 = 0"))
+    assert langid.FLOOR != model.floor
     got = langid.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1").collect()
     assert np.mean([r.predicted == r.lang for r in got]) > 0.95
     assert sum(r.n_backoff for r in got) > 0 and all(r.accepted for r in got)
 
 
+def test_language_rejects_what_it_does_not_know(spark, documents):
+    """Random letters and languages that didn't train are rejected, texts that did aren't, in short as in long."""
+    r = random.Random(1)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 100, 300, 1000, 3000)]
+    junk += ["Ala ma kota, a kot ma Alę. Dziś jest piękny dzień i wszyscy idą do parku, gdzie rosną wysokie drzewa.", "Съешь же ещё этих мягких французских булок, да выпей чаю", "12 34 5678", "!!!"]
+    both = documents.select("doc_id", "text", "lang").union(spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    kept = {x.doc_id for x in langid.keep_identified(both).collect()}
+    assert kept == {x.doc_id for x in documents.collect()}
+    assert kept == {x.doc_id for x in langid.identify(both).where("accepted").collect()}
+
+
+def test_language_against_brute_force(spark, documents):
+    """Scores of words and backoff, recounted from strings."""
+    model = langid.train(documents)
+    train, _ = langid.labelled(documents)
+    words, grams = {}, {n: {} for n in range(1, 5)}
+    word = lambda t: regex.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", t.lower())
+    langs = sorted({x.lang for x in train.collect()})
+    for x in train.collect():
+        for v, n in Counter(word(x.text)).items():
+            words.setdefault(v, Counter())[x.lang] += n
+            for k in grams:
+                for i in range(len(v) - k + 1):
+                    grams[k].setdefault(v[i : i + k], Counter())[x.lang] += n
+
+    def table(counts):
+        sums = {l: sum(c[l] for c in counts.values()) for l in langs}
+        kinds = {l: sum(l in c for c in counts.values()) for l in langs}
+        kept = {v: {l: c[l] if c[l] >= langid.MIN_RATE[0 if counts is words else 1] * sums[l] else 0 for l in langs} for v, c in counts.items()}
+        return {v: [math.log((c[l] + langid.SMOOTHING) / (sums[l] + langid.SMOOTHING * (kinds[l] + 1))) for l in langs] for v, c in kept.items() if any(c.values())}
+
+    known, by = table(words), {k: table(g) for k, g in grams.items()}
+    texts = [x.text for x in documents.limit(30).collect()] + ["Unbelievable zzqy xx ñandú 123", "the q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in langid.identify(docs, model).collect()}
+    for i, t in enumerate(texts):
+        total, scored = np.zeros(len(langs)), 0
+        for v in word(t):
+            if v in known:
+                total += known[v]
+                scored += 1
+                continue
+            for k in range(4, 0, -1):
+                hits = [by[k][v[j : j + k]] for j in range(len(v) - k + 1) if v[j : j + k] in by[k]]
+                if hits:
+                    total += np.mean(hits, 0)
+                    scored += 1
+                    break
+        first, second = sorted(total)[-1:-3:-1]
+        assert got[i].predicted == langs[int(total.argmax())] and got[i].n_known + got[i].n_backoff == scored
+        assert got[i].margin == pytest.approx((first - second) / scored, abs=1e-5)
+
+
 def test_language_backoff_order():
-    t = {0: ({"foo": (3, 1)}), 1: {}, 2: {}, 3: {}, 4: {}}
-    del t
     w = textvec.words(pa.array(["naïve été"]))
     h, word = langid.word_grams(w, np.array([0, 1]), 3)
     assert list(word) == [0, 0, 0, 1]  # characters, not bytes
@@ -182,16 +236,61 @@ def test_chunks_survive_edits():
 def test_media_round_trip(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     back = media.reconstruct(media.recipes(pages, "page_id", "html"), media.store(pages, "page_id", "html"), "page_id")
-    want = {r.page_id: hashlib.sha256(r.html.encode()).hexdigest() for r in pages.where("html <> ''").collect()}
-    assert {r.page_id: hashlib.sha256(bytes(r.payload)).hexdigest() for r in back.collect()} == want
+    html = {r.page_id: r.html.encode() for r in pages.collect()}
+    want = {i: hashlib.sha256(x).hexdigest() for i, x in html.items()}
+    assert {r.page_id: hashlib.sha256(bytes(r.payload)).hexdigest() for r in back.where("verified").collect()} == want
     got = rows(media.chunked(pages))
     assert all(r["verified"] for r in got) and {r["page_id"] for r in got} == set(want)
+    stored = {bytes(r.digest).hex(): r for r in media.store(pages, "page_id", "html").collect()}
+    for r in got:  # the recipe that the query gives leads to the bytes
+        digests = r["recipe"].split(",") if r["recipe"] else []
+        assert b"".join(zstandard.decompress(bytes(stored[d].packed)) for d in digests) == html[r["page_id"]]
+        assert (r["n_bytes"], r["n_chunks"]) == (len(html[r["page_id"]]), len(digests))
+    first = defaultdict(set)  # brute force: who holds a chunk first
+    for i in sorted(html):
+        at = 0
+        for c in media.cuts(np.frombuffer(html[i], np.uint8), np.array([0, len(html[i])]))[0]:
+            part, at = html[i][at:c], c
+            first[hashlib.sha256(part).hexdigest()].add((i, len(part)))
+    own = Counter(min(v)[0] for v in first.values())
+    size = Counter()
+    for v in first.values():
+        size[min(v)[0]] += min(v)[1]
+    by_content = defaultdict(set)
+    for i, x in html.items():
+        by_content[x].add(i)
+    for r in got:
+        assert (r["n_new"], r["new_bytes"]) == (own[r["page_id"]], size[r["page_id"]])
+
+
+def test_media_finds_a_wrong_store(spark, monkeypatch):
+    """A chunk that is missing, or stored under another's digest, leaves its payloads unverified."""
+    r = random.Random(1)
+    pages = spark.createDataFrame([(1, r.randbytes(30_000)), (2, r.randbytes(30_000))], "page_id long, html binary")
+    whole = media.store(pages, "page_id", "html").cache()
+    gone = whole.where("owner.id = 1").first().digest
+    recipes = media.recipes(pages, "page_id", "html")
+    broken = whole.where(whole.digest != gone)
+    assert {x.page_id: x.verified for x in media.reconstruct(recipes, broken, "page_id").collect()} == {1: False, 2: True}
+    monkeypatch.setattr(media, "store", lambda *a: broken)
+    assert {x["page_id"]: x["verified"] for x in rows(media.chunked(pages))} == {1: False, 2: True}
+    swapped = whole.selectExpr("digest", "packed", "length", "refs", "owner", "intact", f"CASE WHEN digest = X'{bytes(gone).hex()}' THEN poly + 1 ELSE poly END AS poly")
+    monkeypatch.setattr(media, "store", lambda *a: swapped)
+    assert {x["page_id"]: x["verified"] for x in rows(media.chunked(pages))} == {1: False, 2: True}
 
 
 def test_media_odd_rows(spark):
     df = spark.createDataFrame([(1, b"x" * 20_000), (1, b"x" * 20_000), (2, b"x" * 20_000), (3, None), (4, b"")], "page_id long, html binary")
-    got = {r["page_id"]: r for r in rows(media.chunked(df))}
-    assert set(got) == {1, 2} and got[2]["n_new"] == 0 and got[1]["n_bytes"] == 20_000 and got[2]["recipe"] == got[1]["recipe"]
+    listed = rows(media.chunked(df))
+    got = {r["page_id"]: r for r in listed}
+    assert len(listed) == 5 and got[2]["n_new"] == 0 and got[1]["n_bytes"] == 20_000 and got[2]["recipe"] == got[1]["recipe"] and [r for r in listed if r["page_id"] == 1][0] == [r for r in listed if r["page_id"] == 1][1]
+    assert set(got[3].values()) == {3, None} and got[4] == {"page_id": 4, "n_bytes": 0, "n_chunks": 0, "n_new": 0, "new_bytes": 0, "recipe": "", "verified": True}
+    same = spark.createDataFrame([(None, b"a" * 9000), (None, b"b" * 9000), (7, b"c" * 9000), (7, b"d" * 9000), (8, b""), (9, None)], "page_id long, html binary")
+    listed = rows(media.chunked(same))
+    assert sorted((r["page_id"] or 0, r["n_bytes"], r["verified"]) for r in listed if r["page_id"] != 9) == [(0, 9000, True), (0, 9000, True), (7, 9000, True), (7, 9000, True), (8, 0, True)]
+    assert len({r["recipe"] for r in listed}) == 6 and sum(r["new_bytes"] or 0 for r in listed) == sum(r.length for r in media.store(same, "page_id", "html").collect())
+    back = [(r.page_id, None if r.payload is None else bytes(r.payload), r.verified) for r in media.reconstruct(media.recipes(same, "page_id", "html"), media.store(same, "page_id", "html"), "page_id").collect()]
+    assert sorted(back, key=str) == sorted([(None, b"a" * 9000, True), (None, b"b" * 9000, True), (7, b"c" * 9000, True), (7, b"d" * 9000, True), (8, b"", True), (9, None, None)], key=str)
     assert media.chunked(df.limit(0)).collect() == []
 
 
@@ -459,7 +558,6 @@ def test_containment_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("SET lambda_syntax='ENABLE_SINGLE_ARROW'")
     for t in ("benchmark", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     order = lambda x: tuple(x[c] for c in ("item_id", "doc_id", "shared", "contained"))
@@ -471,12 +569,27 @@ def test_sketch_against_brute_force(documents):
     low = fingerprint.bound(fingerprint.SCALE)
     got = {r.doc_id: r for r in fingerprint.sketch(documents).collect()}
     for r in documents.limit(40).collect():
-        w = re.findall(fingerprint.WORD, r.text.lower())
+        w = regex.findall(fingerprint.WORD, r.text.lower())
         runs = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
         assert got[r.doc_id].n_shingles == len(runs)
         assert list(got[r.doc_id].sketch) == sorted({h for h in (hashlib.md5(x.encode()).hexdigest()[:16] for x in runs) if h < low})
 
 
+def test_sketches_of_any_script(spark):
+    """Words of every script count, one by one where none are set apart; the SQL agrees."""
+    import duckdb
+
+    texts = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "日本語の文章には空白がありません。", "Ελληνικά κείμενα έχουν λέξεις με τόνους", "ภาษาไทยไม่มีช่องว่าง", "नमस्ते दुनिया यह एक परीक्षण वाक्य है", "x_y 漢字abc漢字 İo", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    want = {r[0]: r[1:] for r in con.execute(fingerprint.SKETCH_SQL).fetchall()}
+    assert {i: (r.n_shingles, r.n_kept, r.sketch) for i, r in got.items()} == want
+    assert all(got[i].n_shingles >= 2 for i in range(5)) and got[1].n_shingles == 12
+
+
 # ---- 8: token counts --------------------------------------------------------------------------
 
 ALPHABET = st.text(alphabet="ab'srevl 1 2\n.,é  ", max_size=30)
@@ -657,6 +770,37 @@ def test_pii_short_groups_and_cues_of_any_case(text, want):
     assert [k for _, _, k in spans] == want and pii.find(pii.redact(text, spans)) == []
 
 
+def test_card_against_luhn_of_every_cut():
+    r = random.Random(8)
+    for _ in range(3000):
+        t = "".join(r.choice("0123456789") + r.choice(["", "", "", " ", "-"]) for _ in range(r.randrange(13, 20))).strip(" -")
+        want = max((i for i in range(1, len(t) + 1) if (i == len(t) or not t[i].isdigit()) and t[i - 1].isdigit() and len(d := re.sub(r"\D", "", t[:i])) >= 13 and pii.luhn(d)), default=0)
+        assert pii.card(t, 0, len(t)) == want
+
+
+@pytest.mark.parametrize("part", ["1.", "1 ", "1", "12-", "(1", "+1", "@", "a@", "a.", "token=", 'token="', "sk-", "xoxb-", "_xoxb-", "://", "http://u:p", "-----BEGIN PRIVATE KEY-----", "-----BEGIN A ", "DE89 ", "1-1.", "ghp_a"])
+def test_pii_takes_linear_time(part):
+    import time
+
+    pii.find("x")
+    took = []
+    for n in (50_000, 400_000):
+        text = part * (n // len(part))
+        began = time.perf_counter()
+        pii.find("x@" + text + "@x")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_pii_runs_are_looked_at_once_and_kept_apart():
+    key = "sk-" + "a" * 20
+    assert [k for _, _, k in pii.find(f"{key} {key} x{key}")] == ["KEY", "KEY"]
+    assert [k for _, _, k in pii.find("token=abcdefgh token=abcdefg1 pwd=token=abcdefg2")] == ["SECRET", "SECRET"]
+    assert [k for _, _, k in pii.find("1.2.3.4 and 5.6.7.8. 9.9.9.9.9 10.0.0.1")] == ["IP", "IP", "IP"]
+    block = "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----"
+    assert [k for _, _, k in pii.find(f"{block} y {block}")] == ["PRIVATE_KEY", "PRIVATE_KEY"]
+
+
 def test_pii_against_patterns(documents):
     for r in documents.collect():
         spans = pii.find(r.text)

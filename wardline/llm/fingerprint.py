@@ -1,14 +1,17 @@
 """Threshold-scaled document sketches.
 
-A document's shingles are the runs of ``SIZE`` words of its lower-cased text (all its
-words where it has fewer). A shingle's hash is its MD5; the sketch retains every
+A document's words are the runs of letters, marks and digits of its lower-cased text;
+in scripts that set no spaces between words (``UNSPACED``) each character is a word. Its
+shingles are the runs of ``SIZE`` words (all its words where it has fewer). A shingle's
+hash is the first half of the MD5 of its words, joined by spaces; the sketch retains every
 distinct hash below a fixed fraction of the hash space, so that its size follows the
 document's. Sketches of the same fraction merge by union, and the containment of one
 text in another, however unequal, is estimated by the share of the first one's sketch
 that the other holds.
 
 A short passage may have no hash below the bound; ``passages`` therefore compares all
-shingles. Everything is a built-in expression; ``SKETCH_SQL`` is the same query for DuckDB.
+shingles. Many texts are cut into shingles at once, and each distinct shingle of a step is
+hashed once; ``SKETCH_SQL`` is the same query for DuckDB.
 
 Nulls and the like: a null, empty or wordless text has no shingles and an empty sketch;
 repeated shingles count once; equal rows give equal sketches, a row for each; the
@@ -18,13 +21,24 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm import common, textvec
+
 SIZE = 5
 #: One hash in this many is retained.
 SCALE = 16
-WORD = "[0-9a-zà-öø-ÿßœ]+"
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+#: A word for RE2 and for Python's regex: a run of letters, marks and digits of other scripts, or one such character of these.
+_SPACED = "|".join(rf"[^\P{{{c}}}{UNSPACED}]" for c in "LMN")
+WORD = rf"(?:{_SPACED})+|[\p{{L}}\p{{M}}\p{{N}}]"
 
 
 def bound(scale: int) -> str:
@@ -32,23 +46,65 @@ def bound(scale: int) -> str:
     return f"{(1 << 64) // scale:016x}" if scale > 1 else "g"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 no part of a word, 1 a letter, mark or digit, 2 a word of its own."""
+    found = np.zeros(0x110000, np.uint8)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind, part in ((1, r"[\p{L}\p{M}\p{N}]+"), (2, f"[{UNSPACED}]+")):
+        for m in regex.finditer(part, every):
+            codes = np.frombuffer(m.group().encode("utf-32-le"), np.uint32)
+            found[codes] = np.where(found[codes] > 0, kind, 0) if kind == 2 else kind
+    return found
+
+
+_held: list[np.ndarray] = []
 
 
-def shingle_array(words: Column, size: int = SIZE) -> Column:
-    """words must be a column of its own: an expression would be evaluated once for each shingle."""
-    last = F.greatest(F.size(words) - size + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words of all texts, one space after each: the bytes, where each word begins and ends, and the first word of each text (n + 1)."""
+    if not _held:
+        _held.append(_kinds())
+    buf, offsets = textvec.raw(pc.utf8_lower(column), "\n")
+    kind = np.append(_held[0][np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)], 0)
+    at = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+    before = np.concatenate(([0], kind[:-2])) if len(kind) > 1 else kind[:0]
+    start = at[np.flatnonzero((kind[:-1] == 2) | ((kind[:-1] == 1) & (before != 1)))]
+    end = at[np.flatnonzero((kind[:-1] == 2) | ((kind[:-1] == 1) & (kind[1:] != 1))) + 1]
+    size = end - start + 1
+    begin = np.cumsum(size) - size
+    out = buf[np.arange(int(size.sum())) + np.repeat(start - begin, size)]
+    stop = begin + size - 1
+    out[stop] = 32
+    return out, begin, stop, np.searchsorted(start, offsets)
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", size: int = SIZE, scale: int = SCALE) -> DataFrame:
     """key, n_shingles (distinct), n_kept, sketch: the retained hashes (16 digits) in order, an array."""
-    words = docs.select(F.col(key), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_w"))
-    one = words.select(key, shingle_array(F.col("_w"), size).alias("_s"))
-    hashes = F.array_sort(F.array_distinct(F.filter(F.transform("_s", lambda x: F.substring(F.md5(x), 1, 16)), lambda h: h < bound(scale))))
-    return one.select(key, F.size("_s").cast("long").alias("n_shingles"), hashes.alias("sketch")).select(key, "n_shingles", F.size("sketch").cast("long").alias("n_kept"), "sketch")
+    limit = (1 << 64) // scale - 1
+
+    def run(step: pa.RecordBatch) -> pa.RecordBatch:
+        rows = step.num_rows
+        buf, begin, stop, first = normalised(step.column("text"))
+        many = np.diff(first)
+        doc = np.repeat(np.arange(rows), many)
+        rank = np.arange(len(doc)) - first[doc]
+        one = np.flatnonzero((rank == 0) | (rank <= many[doc] - size))  # the first word of each shingle
+        last = np.minimum(one + size - 1, first[doc[one] + 1] - 1)
+        h, doc = textvec.range_hash(buf, begin[one], stop[last]), doc[one]
+        order = np.lexsort((h, doc))
+        distinct = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))] if len(order) else order
+        _, some, back = np.unique(h[distinct], return_index=True, return_inverse=True)
+        some, view = distinct[some], memoryview(buf)
+        digest = b"".join(hashlib.md5(view[a:b]).digest()[:8] for a, b in zip(begin[one[some]].tolist(), stop[last[some]].tolist()))
+        value, owner = np.frombuffer(digest, ">u8").astype(np.uint64)[back], doc[distinct]
+        kept = value <= np.uint64(limit)
+        pair = np.unique(np.stack([owner[kept].astype(np.uint64), value[kept]], 1), axis=0) if kept.any() else np.zeros((0, 2), np.uint64)
+        offsets = np.searchsorted(pair[:, 0], np.arange(rows + 1, dtype=np.uint64)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array([f"{v:016x}" for v in pair[:, 1].tolist()], pa.string()))
+        return pa.RecordBatch.from_arrays([step.column(key), pa.array(np.bincount(owner, minlength=rows).astype(np.int64)), pa.array(np.diff(offsets).astype(np.int64)), lists], [key, "n_shingles", "n_kept", "sketch"])
+
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+    return common.map_steps(rows, run, f"{key} long, n_shingles long, n_kept long, sketch array<string>")
 
 
 def merge(sketches: DataFrame, by: str) -> DataFrame:
@@ -76,8 +132,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _sql(table: str, key: str, size: int = SIZE, scale: int = SCALE) -> str:
-    return f"""SELECT {key}, len(s) AS n_shingles, list_sort(list_distinct(list_filter(list_transform(s, x -> substr(md5(x), 1, 16)), h -> h < '{bound(scale)}'))) AS sketch
-FROM (SELECT {key}, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {size - 1}, 1) + 1), i -> array_to_string(w[i:i + {size - 1}], ' '))) END AS s
+    return f"""SELECT {key}, len(s) AS n_shingles, list_sort(list_distinct(list_filter(list_transform(s, lambda x: substr(md5(x), 1, 16)), lambda h: h < '{bound(scale)}'))) AS sketch
+FROM (SELECT {key}, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {size - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) END AS s
 FROM (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM {table}))"""
 
 

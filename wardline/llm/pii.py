@@ -43,8 +43,11 @@ _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{8,15}|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _VALUE = re.compile(r"[A-Za-z_-]{0,24}[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}([\"']?)([A-Za-z0-9_\-./+=]{8,})\1")
-_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[po]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{16,}|xox[bp]-[A-Za-z0-9-]{20,}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+#: Prefixes of keys: the characters that follow, and how many of them at least (16 exactly for the first two).
+_BODY = {"AKIA": ("[A-Z0-9]{0,16}", 16), "ASIA": ("[A-Z0-9]{0,16}", 16), "ghp_": ("[A-Za-z0-9]*", 30), "gho_": ("[A-Za-z0-9]*", 30), "sk-": ("[A-Za-z0-9_-]*", 20), "sk_live_": ("[A-Za-z0-9]*", 16), "xoxb-": ("[A-Za-z0-9-]*", 20), "xoxp-": ("[A-Za-z0-9-]*", 20)}
+_BODY = {k: (re.compile(c), n) for k, (c, n) in _BODY.items()}
+_DOTTED = re.compile(r"[0-9.]*")
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 #: Characters that may stand in a written telephone, card or account number.
 _RUN = frozenset("0123456789 -.()+")
 
@@ -90,12 +93,11 @@ def scheme(text: str, i: int, floor: int) -> Span | None:
     return (a, m.end(), "URL") if m else None
 
 
-def dotted(text: str, i: int, floor: int) -> Span | None:
-    a, b = i, i
-    while a > floor and (text[a - 1] in DIGITS or text[a - 1] == "."):
+def dotted(text: str, i: int, end: int) -> Span | None:
+    """The address that the run of digits and dots around i is, if it is one; the run ends at end."""
+    a, b = i, end
+    while a > max(i - 16, 0) and (text[a - 1] in DIGITS or text[a - 1] == "."):  # an address has 15 characters at most
         a -= 1
-    while b < len(text) and (text[b] in DIGITS or text[b] == "."):
-        b += 1
     while b > a and text[b - 1] == ".":
         b -= 1
     m = _IPV4.fullmatch(text, a, b)
@@ -118,10 +120,9 @@ def digit_run(text: str, i: int, floor: int) -> list[Span]:
         best = None
         for kind, pattern in (("CARD", _CARD), ("SSN", _SSN), ("PHONE", _PHONE)):
             m = pattern.match(text, s, b)
-            while m and kind == "CARD" and not (_alone(text, s, m.end()) and luhn(re.sub(r"\D", "", m.group()))):
-                m = pattern.fullmatch(text, s, cut) if (cut := _shorter(text, s, m.end())) else None
-            if m and _alone(text, s, m.end()) and (best is None or m.end() > best[1]):
-                best = (s, m.end(), kind)
+            end = 0 if m is None else card(text, s, m.end()) if kind == "CARD" else m.end()
+            if end and _alone(text, s, end) and (best is None or end > best[1]):
+                best = (s, end, kind)
         if best:
             found.append(best)
             s = best[1]
@@ -130,10 +131,22 @@ def digit_run(text: str, i: int, floor: int) -> list[Span]:
     return found
 
 
-def _shorter(text: str, s: int, e: int) -> int:
-    """The end of the same number without its last group, 0 if it has one group only."""
-    e = max(text.rfind(" ", s, e), text.rfind("-", s, e))
-    return e if e > s else 0
+def card(text: str, s: int, e: int) -> int:
+    """The largest end, at e or after a group of digits before it, at which the digits from s are 13 or more and pass Luhn; 0 if none does."""
+    even, odd, n, best = 0, 0, 0, 0  # check sums if the digits of even, or of odd, places are doubled
+    for i in range(s, e):
+        c = text[i]
+        if c in DIGITS:
+            d = ord(c) - 48
+            twice = 2 * d - 9 if d > 4 else 2 * d
+            if n & 1:
+                even, odd = even + d, odd + twice
+            else:
+                even, odd = even + twice, odd + d
+            n += 1
+        elif n >= 13 and (odd if n & 1 else even) % 10 == 0 and text[i - 1] in DIGITS:
+            best = i
+    return e if n >= 13 and (odd if n & 1 else even) % 10 == 0 and _alone(text, s, e) else best
 
 
 def account(text: str, i: int, floor: int) -> Span | None:
@@ -150,9 +163,28 @@ def account(text: str, i: int, floor: int) -> Span | None:
     return None
 
 
-def assigned(text: str, i: int) -> Span | None:
+def assigned(text: str, i: int) -> tuple[int, int, bool] | None:
+    """Where the value assigned after i begins and ends, and whether it has a digit, as secrets do."""
     m = _VALUE.match(text, i)
-    return (m.start(2), m.end(2), "SECRET") if m and any(c in DIGITS for c in m.group(2)) else None
+    return (m.start(2), m.end(2), any(c in DIGITS for c in m.group(2))) if m else None
+
+
+def secrets(text: str, cues: list[int]) -> list[Span]:
+    """The values assigned after cues. A cue within a value that was looked at ends the same value, and is passed over."""
+    found, done = [], 0
+    for i in cues:
+        if i >= done and (got := assigned(text, i)):
+            done = got[1]
+            if got[2]:
+                found.append((got[0], got[1], "SECRET"))
+    return found
+
+
+def run_of(characters: re.Pattern, text: str, i: int, ends: dict[re.Pattern, int]) -> int:
+    """The end of the run of characters that holds i. Each run is walked once: ends remembers the last one's end."""
+    if i >= ends.get(characters, 0):
+        ends[characters] = characters.match(text, i).end()
+    return ends[characters]
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -196,8 +228,8 @@ def find(text: str) -> list[Span]:
     """The findings of a text as (start, end, kind), in order and without overlap."""
     if not _held:
         _held.extend((_automaton(), _cues()))
-    spans: list[Span] = [got for end, _ in _held[1].iter(_folded(text)) if (got := assigned(text, end + 1))]
-    run_end = 0
+    spans = secrets(text, [end + 1 for end, _ in _held[1].iter(_folded(text))])
+    run_end, block_end, ends = 0, 0, {}
     for end, (kind, size) in _held[0].iter(text):
         start = end + 1 - size
         got: Span | None = None
@@ -212,14 +244,17 @@ def find(text: str) -> list[Span]:
                 run_end += 1
             got = account(text, start, 0)
         elif kind == "d":
-            got = dotted(text, start, 0)
+            stop = run_of(_DOTTED, text, start, ends)
+            got = dotted(text, start, stop) if stop - start <= 16 else None
         elif kind == "s":
             got = scheme(text, start, 0)
         elif kind == "k":
-            m = _KEY.match(text, start)
-            got = (start, m.end(), "KEY") if m and _alone(text, start, m.end()) else None
-        else:
+            characters, least = _BODY[text[start : end + 1]]
+            stop = run_of(characters, text, end + 1, ends) if least != 16 or size > 4 else characters.match(text, end + 1).end()
+            got = (start, stop, "KEY") if stop - end - 1 >= least and _alone(text, start, stop) else None
+        elif start >= block_end:
             m = _BLOCK.match(text, start)
+            block_end = m.end() if m else block_end
             got = (start, m.end(), "PRIVATE_KEY") if m else None
         if got:
             spans.append(got)

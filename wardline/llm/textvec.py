@@ -89,6 +89,22 @@ def prefix(buf: np.ndarray) -> np.ndarray:
     return total
 
 
+def power(at: np.ndarray) -> np.ndarray:
+    """The multiplier to each of the powers given, by squares: they may be large."""
+    out, base, left = np.ones(len(at), np.uint64), _MUL, np.asarray(at, np.uint64)
+    while len(left) and left.any():
+        out = np.where(left & np.uint64(1), out * base, out)
+        base = base * base
+        left = left >> np.uint64(1)
+    return out
+
+
+def polynomial(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of each byte range at the multiplier: that of two ranges together is the first plus the second times a power of the multiplier."""
+    total = prefix(buf)
+    return (total[end] - total[start]) * powers("inv", len(buf) + 1)[start]
+
+
 def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each byte range; equal bytes give equal hashes wherever they stand. total: prefix(buf), if at hand."""
     total = prefix(buf) if total is None else total
