@@ -313,6 +313,18 @@ def test_license_held_out(spark):
     assert not set(named) & {len(want), len(want) + 1, len(want) + 2}
 
 
+def test_license_families_apart_and_wrapped_lines(documents):
+    """Families that share words, hard-wrapped notices, unknown ones, lookalikes, nulls, ties, and repeated rows."""
+    model = license.train_on(documents)
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    texts = ["x.\n" + wrapped + "\nlast.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 2.1.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the GNU Affero General Public License, version 3.", "Her fishing license was free of charge.", None, "", "word " * 50_000 + "Released under the MIT License."]
+    got = license.scan_step(model, pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])).to_pylist()
+    named = {g["doc_id"]: (g["family"], g["paragraph"]) for g in got if g["confirmed"]}
+    assert named == {0: ("mit", 1), 1: ("lgpl", 0), 2: ("lgpl", 0), 3: ("isc", 0), 4: ("agpl", 0), 8: ("mit", 0)}
+    assert all(g["family"] == "unknown" or g["probability"] >= model.threshold for g in got) and not any(g["confirmed"] for g in got if g["family"] == "unknown")
+    assert license.holds_template(["some words, Released under the MIT License. more", "a license of another kind"]).tolist() == [True, False]
+
+
 def test_license_scan_finds_the_notices(documents):
     want = {(r.doc_id, i) for r in documents.collect() for i, p in enumerate((r.text or "").split("\n")) if re.search(r"licensed under|MIT License", p, re.I)}
     assert {(r.doc_id, r.paragraph) for r in license.scan(documents).where("confirmed").collect()} == want

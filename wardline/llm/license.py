@@ -1,19 +1,23 @@
 """Licence notices: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line of a document. Its features are the distinct 1-, 2- and 3-grams of
-its lower-cased words; a multinomial logistic regression over families and "unknown"
-weighs those that occur in the templates. Training paragraphs are notices made from the
-templates (with words dropped and neighbours added) and, as unknown, a bounded sample of
-the corpus's paragraphs. Half of them calibrate a temperature and the probability from
-which a family is named; anything below is unknown. A prediction is confirmed if the
-paragraph holds at least ``MIN_COVER`` of the word bigrams of one of the family's
-templates.
+A paragraph is a line of a document, together with the lines it runs on to: a line of at
+least ``WRAPPED`` bytes that ends in a letter or a comma goes on in the next one if that
+begins with a letter, as hard-wrapped notices do. Its features are the distinct 1-, 2- and
+3-grams of its lower-cased words; a multinomial logistic regression over families and
+"unknown" weighs those that occur in the templates. Training paragraphs are notices made
+from the templates (with words dropped and neighbours added) and, as unknown, those of a
+bounded sample of the corpus's rows, whole, licence words and all, unless they hold a
+template. Half of them calibrate a temperature and the probability from which a family is
+named, that at which at most ``WRONG`` of the held-out names are wrong. A paragraph that
+looks more like a family than like none but stays below is reported as unknown. A
+prediction is confirmed if the paragraph holds at least ``MIN_COVER`` of the word bigrams
+of one of the family's templates.
 
 Nulls and the like: null, empty and wordless texts give no rows; each notice of a
-document is a row, also where it repeats; a line of any length is scored whole; equal
-rows give equal results each; rows with a null doc_id are scanned too; without any
-corpus paragraph the model is trained on templates and word lists alone; columns other
-than doc_id and text are ignored.
+document is a row, also where it repeats; a paragraph of any length is scored whole; equal
+rows give equal results each; on a tie the family first in the alphabet is named; rows
+with a null doc_id are scanned too; without any corpus paragraph the model is trained on
+templates and word lists alone; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +38,17 @@ UNKNOWN = "unknown"
 #: Corpus rows whose paragraphs train the unknown class: a documented bound of the classifier.
 TRAIN_ROWS = 200
 MIN_COVER = 0.6
+#: Share of held-out names that may be wrong at the threshold, and bytes from which a line may be wrapped.
+WRONG, WRAPPED = 0.01, 40
 ORDERS = (1, 2, 3)
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "agpl": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -44,29 +56,73 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
         "Licensed under CC BY-SA 4.0.",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ),
+    "cc0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Released into the public domain under the CC0 1.0 Universal dedication.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; see the GNU General Public License for more details.",
         "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "lgpl": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful; see the GNU Lesser General Public License for more details.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "mit": (
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at the Mozilla site.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
 }
 #: Ordinary sentences with licence words: lookalikes of the unknown class.
 LOOKALIKES = (
@@ -78,6 +134,14 @@ LOOKALIKES = (
     "An Apache helicopter was used in the film.",
     "Permission is granted to enter the building.",
     "The GNU is a large antelope.",
+    "All rights reserved by the publisher of this magazine.",
+    "Copyright law differs from country to country.",
+    "The software license costs forty dollars for each seat and year.",
+    "See the terms of service for more details about the program.",
+    "The library is free and open to any person with a card.",
+    "Boost the engine before you distribute the load.",
+    "The eclipse was visible to the public in the north.",
+    "A creative mind finds common ground.",
 )
 
 
@@ -93,9 +157,23 @@ def grams(w: textvec.Words, para: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return h[ok], para[:m][ok]
 
 
+_LETTER = textvec.WORD_BYTES.copy()
+_LETTER[48:58] = False
+_GOES_ON = _LETTER.copy()
+_GOES_ON[ord(",")] = True
+
+
+def breaks(w: textvec.Words) -> np.ndarray:
+    """The ends of the step's paragraphs: newlines (the texts are joined by them) over which no wrapped line runs on."""
+    lines = np.flatnonzero(w.buf == 10)
+    before = np.concatenate(([-1], lines[:-1])) if len(lines) else lines
+    wrapped = (lines - before > WRAPPED) & _GOES_ON[w.buf[lines - 1]] & _LETTER[w.buf[np.minimum(lines + 1, len(w.buf) - 1)]]
+    return lines[~wrapped | np.isin(lines, w.offsets[1:] - 1)]
+
+
 def paragraphs(w: textvec.Words) -> np.ndarray:
-    """The number of each word's line within the step (the texts are joined by newlines)."""
-    return np.searchsorted(np.flatnonzero(w.buf == 10), w.start)
+    """The number of each word's paragraph within the step."""
+    return np.searchsorted(breaks(w), w.start)
 
 
 @dataclass
@@ -155,11 +233,26 @@ def _vary(rng: random.Random, words: list[str], around: list[str]) -> str:
     return " ".join(kept)
 
 
+def holds_template(texts: list[str]) -> np.ndarray:
+    """Whether each text holds at least ``MIN_COVER`` of the bigrams of some template."""
+    w, own = textvec.words(pa.array(texts, pa.string())), textvec.words(pa.array([t for name in sorted(TEMPLATES) for t in TEMPLATES[name]]))
+    h, p = grams(w, w.doc, 2)
+    mine, of = grams(own, own.doc, 2)
+    found = np.zeros(len(texts), bool)
+    for t in np.unique(of).tolist():
+        wanted = np.unique(mine[of == t])
+        hit = np.isin(h, wanted)
+        pairs = np.unique(np.stack([p[hit].astype(np.uint64), h[hit]], 1), axis=0)[:, 0].astype(np.int64) if hit.any() else np.zeros(0, np.int64)
+        found |= np.bincount(pairs, minlength=len(texts)) >= MIN_COVER * len(wanted)
+    return found
+
+
 def train(corpus: list[str], seed: int = 7, variants: int = 24) -> Model:
     """corpus: paragraphs that stand for the unknown class."""
     rng = random.Random(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
-    plain = [p for p in corpus if p and p.strip()] + list(LOOKALIKES)
+    corpus = [p for p in corpus if p and p.strip()]
+    plain = [p for p, held in zip(corpus, holds_template(corpus)) if not held] + list(LOOKALIKES)
     around = [x for p in plain for x in p.split()]
     texts, label = [], []
     for k, name in enumerate(families[:-1]):
@@ -195,10 +288,11 @@ def train(corpus: list[str], seed: int = 7, variants: int = 24) -> Model:
         weights -= 4.0 * (x[fit].T @ error + 1e-4 * weights)
         bias -= 4.0 * error.sum(0)
     held = x[~fit] @ weights + bias
-    scale = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(_softmax(held / t)[np.arange(len(held)), y[~fit]] + 1e-12).mean())
+    scale = min(np.geomspace(0.05, 20, 60).tolist(), key=lambda t: -np.log(_softmax(held / t)[np.arange(len(held)), y[~fit]] + 1e-12).mean())
     prob = _softmax(held / scale)
-    wrong = (prob[:, :-1].argmax(1) != y[~fit])
-    threshold = float(np.clip(prob[wrong, :-1].max(1).max(initial=0.0) if wrong.any() else 0.5, 0.5, 0.9))
+    named, wrong = np.sort(prob[:, :-1].max(1))[::-1], (prob[:, :-1].argmax(1) != y[~fit])[np.argsort(-prob[:, :-1].max(1), kind="stable")]
+    good = np.flatnonzero(np.cumsum(wrong) <= WRONG * np.arange(1, len(wrong) + 1))
+    threshold = float(max(named[good[-1]], 0.5)) if len(good) else 1.0
     template_of, template, size, family = [], [], [], []
     h, p = grams(own, own.doc, 2)
     for t, k in enumerate(k for k, name in enumerate(families[:-1]) for _ in TEMPLATES[name]):
@@ -219,15 +313,17 @@ def scan_step(model: Model, step: pa.RecordBatch) -> pa.RecordBatch:
     found, prob = model.predict(w, para)
     best = prob[:, :-1].argmax(1) if len(found) else np.zeros(0, np.int64)
     p = prob[np.arange(len(found)), best] if len(found) else np.zeros(0)
-    named = (p >= model.threshold) & (p > prob[:, -1]) if len(found) else np.zeros(0, bool)
-    found, best, p = found[named], best[named], p[named]
+    like = p > prob[:, -1] if len(found) else np.zeros(0, bool)
+    found, best, p = found[like], best[like], p[like]
+    named = p >= model.threshold
     cover = model.cover(w, para, found, best)
     lines = np.flatnonzero(w.buf == 10)
-    begin = np.concatenate(([0], lines + 1))[found]  # of each paragraph
+    begin = np.concatenate(([0], breaks(w) + 1))[found]  # of each paragraph
     doc = np.searchsorted(w.offsets, begin, side="right") - 1
-    first = np.searchsorted(lines, w.offsets[doc])  # number of the document's first line
+    number = np.searchsorted(lines, begin) - np.searchsorted(lines, w.offsets[doc])  # of its first line in the document
+    best = np.where(named, best, len(model.families) - 1)
     names = pa.array(np.array(model.families, object)[best], pa.string())
-    return pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(doc)), pa.array((found - first).astype(np.int64)), names, pa.array(np.round(p, 6)), pa.array(np.round(cover, 6)), pa.array(cover >= MIN_COVER)], [x.split()[0] for x in SCHEMA.split(", ")])
+    return pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int64)), names, pa.array(np.round(p, 6)), pa.array(np.round(cover, 6)), pa.array(named & (cover >= MIN_COVER))], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def train_on(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -236,15 +332,15 @@ def train_on(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     total = texts.count()
     if total > train_rows:
         texts = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * train_rows / total))
-    lines = texts.select(F.xxhash64("text").alias("h"), F.explode(F.split("text", "\n")).alias("p")).where(~F.lower("p").rlike("licen[cs]e|copyright")).orderBy("h", "p").limit(4 * train_rows)
-    return train([r.p for r in lines.select(F.substring("p", 1, 2000).alias("p")).collect()])
+    wanted = texts.select(F.xxhash64("id", "text").alias("h"), "text").orderBy("h").limit(2 * train_rows)
+    return train([p for r in wanted.collect() for p in r.text.split("\n")])
 
 
 _held: dict[str, Model] = {}
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, similarity, confirmed: a row for each licence notice."""
+    """doc_id, paragraph (number of its first line, from 0), family, probability, similarity, confirmed: a row for each paragraph like a licence notice."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model or train_on(docs)), uuid.uuid4().hex
 
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
