@@ -434,6 +434,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, boundary: int = BOUNDARY, target: float = TARGET_RECALL, min_jaccard: float = MIN_JACCARD) -> DataFrame:
     """(doc_id, keep_id, n_links): each document that repeats another, the one of its class that stays, and how many others the class links it to."""
+    return common.settled(lambda: _duplicates(docs, boundary, target, min_jaccard), "near-result")
+
+
+def _duplicates(docs: DataFrame, boundary: int, target: float, min_jaccard: float) -> DataFrame:
     all_points = common.staged(points(docs), "near-points")
     same = all_points.groupBy("same").agg(F.min("doc_id").alias("point"))
     exact = all_points.select("same", "doc_id").join(same, "same").select("doc_id", "point")

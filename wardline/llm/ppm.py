@@ -42,6 +42,8 @@ ORDER = 4
 BROADCAST_ENTRIES = 6_000_000
 #: Parts of the corpus, each priced under the counts of the others; and the seed of the hash that deals documents to them.
 FOLDS, SEED = 4, 29
+#: Bytes of context by which a trie that stays distributed is split.
+SPLIT = 2
 #: Entries that a task gathers before it hands them on.
 FLUSH = 2_000_000
 
@@ -121,15 +123,15 @@ def other_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 class Trie:
     """Contexts of up to order bytes; bits() gives the code length of the last byte of each key."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, root: tuple[np.ndarray, np.ndarray] | None = None):
-        """root: order-0 symbols and counts, if keys hold a part of the trie only."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, low: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+        """low: the strings and counts of the lowest levels, by their order, if keys hold a part of the trie only."""
         self.order, self.level = order, []
         keys, counts = merge(np.asarray(keys, np.int64), np.asarray(counts, np.int64))
         for k in range(order, -1, -1):
             if k < order:
                 keys, counts = merge(keys & ((1 << (8 * (k + 1))) - 1), counts)
-            if k == 0 and root is not None:
-                keys, counts = merge(np.asarray(root[0], np.int64), np.asarray(root[1], np.int64))
+            if low and k in low:
+                keys, counts = merge(np.asarray(low[k][0], np.int64), np.asarray(low[k][1], np.int64))
             context = keys >> 8
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
             self.level.append({"keys": keys, "n": counts, "context": context[first], "total": np.add.reduceat(counts, first) if len(first) else counts, "q": np.diff(np.append(first, len(keys))), "first": first})
@@ -255,9 +257,17 @@ def _score(own: DataFrame, counts: DataFrame, order: int, broadcast_entries: int
 
 
 def _score_joined(docs: DataFrame, counts: DataFrame, order: int) -> DataFrame:
-    """The same for a trie of any size: its parts (by the byte before) price the strings that documents hold, which are joined back."""
-    root = counts.groupBy((F.col("key").bitwiseAND(255)).alias("s")).agg(F.sum("n").alias("n")).collect()
-    symbols = (np.array([r.s for r in root], np.int64), np.array([r.n for r in root], np.int64))
+    """The same for a trie of any size: its parts price the strings that documents hold, which are joined back.
+
+    A part has all strings with the same last ``SPLIT`` bytes of context, at most 256 ** (order + 1 - SPLIT) of them
+    however large the corpus; the levels below, at most 256 ** SPLIT strings each, are sent to every part.
+    """
+    shared = min(SPLIT, order)
+    low = {}
+    for k in range(shared):
+        got = counts.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("s")).agg(F.sum("n").alias("n")).toArrow()
+        low[k] = (got.column("s").to_numpy(), got.column("n").to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast(low)
 
     def grams(step: pa.RecordBatch) -> pa.RecordBatch:
         keys, offsets = gram_keys(step.column("text"), order)
@@ -268,10 +278,10 @@ def _score_joined(docs: DataFrame, counts: DataFrame, order: int) -> DataFrame:
 
     numbered = common.staged(docs.withColumn("row", F.monotonically_increasing_id()), "ppm-rows")
     times = common.map_steps(numbered.select("row", "text"), grams, "row long, key long, times long")
-    before = F.shiftright("key", 8).bitwiseAND(255)
+    before = F.shiftright("key", 8).bitwiseAND((1 << 8 * shared) - 1)
 
     def price(_, trie_part: pa.Table, asked: pa.Table) -> pa.Table:
-        trie = Trie(trie_part.column("key").to_numpy(), trie_part.column("n").to_numpy(), order, symbols)
+        trie = Trie(trie_part.column("key").to_numpy(), trie_part.column("n").to_numpy(), order, sent.value)
         keys = asked.column("key").to_numpy()
         return pa.table({"key": keys, "cost": trie.bits(keys)})
 
