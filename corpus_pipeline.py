@@ -3,6 +3,12 @@
 Documents without an identifiable language go; one document of each group of near
 copies stays; personal data is replaced; documents are copied until the sources have
 their target weights; the rest is packed into training sequences.
+
+Nulls and the like: a document whose text is null, empty or wordless has no language and
+goes first. A null doc_id stays, is in no group of near copies, and is packed; a null
+source is a source of its own; other nulls pass through. Rows that repeat a doc_id share
+its fate. Texts of any length are handled whole. An empty table gives an empty result.
+Further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id. Rows with a null id stay."""
-    gone = neardup.duplicates(docs).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = common.fresh(docs, "gone")
+    gone = neardup.duplicates(docs).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each copy: doc_id, piece, n_tokens, bin, capacity, offset."""
+    """A row for each piece of each copy: doc_id, piece, n_tokens, bin, capacity, offset. An empty text has a row with a null bin."""
     return packing.pack(docs)
 
 
@@ -43,10 +50,14 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("person
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    """The last stage's rows. What the stages write on the way is deleted when the result is written."""
+
+    def through(k: int) -> DataFrame:
+        name, stage = STAGES[k]
+        before = through(k - 1) if k else common.table(spark, sf_dir, "documents")
+        return common.settled(lambda: stage(spark, before, sf_dir), f"pipeline-{name}")
+
+    return common.settled(lambda: through(len(STAGES) - 1), "pipeline")
 
 
 #: Trained models, permuted tries and packing can't be put in SQL; tests/llm/test_pipeline.py compares with brute force.
