@@ -277,8 +277,7 @@ def _policy(mode: str = "strict") -> flow.Policy:
 
 def _calls(spark, sf_dir) -> DataFrame:
     a = _args(spark, sf_dir).withColumn("call_id", F.floor(F.col("event_id") / 3).cast("long"))
-    tools = a.groupBy("call_id").agg(F.min_by("event_type", "event_id").alias("tool"), F.pmod(F.col("call_id"), F.lit(3)).cast("int").alias("cfi"))
-    return flow.join_all(a, "call_id").join(tools, "call_id")
+    return flow.join_all(a, "call_id", tool=F.min_by("event_type", "event_id")).withColumn("cfi", F.pmod(F.col("call_id"), F.lit(3)).cast("int"))
 
 
 _AUTH = f"""WITH a AS (SELECT *, event_id // 3 AS call_id FROM {_ARGS}),
@@ -441,29 +440,6 @@ def cluster_summary_phrases(spark, sf_dir):
     return mining.phrases(mining.first_word_clusters(_failed(spark, sf_dir))).select(F.col("label").cast("long").alias("label"), "summary")
 
 
-_POS = "(SELECT label, idx, text FROM (SELECT 0 AS label, item_id AS idx, text FROM benchmark))"
-
-
-def _items(spark, sf_dir) -> DataFrame:
-    """The benchmark's items as one cluster of violations: whole texts, few enough to expand into substrings."""
-    return read(spark, sf_dir, "benchmark").select(F.lit(0).alias("label"), F.col("item_id").alias("idx"), F.col("text").alias("input"), F.lit("").alias("output"), F.lit(True).alias("was_violation"))
-
-
-_SPANS = """SELECT span, n, row_number() OVER (ORDER BY n DESC, place) AS r FROM (SELECT substr(t, i, k) AS span, count(*) AS n, min((k, idx, i)) AS place FROM
-(SELECT idx, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM (SELECT item_id AS idx, lower(text || ' ') AS t, unnest(range(8, 30)) AS k FROM benchmark)) GROUP BY span HAVING count(*) >= 2) QUALIFY r <= {}"""
-
-
-@query("regex_candidates", "SELECT span, n, r FROM (" + _SPANS.format(50) + ")")
-def regex_candidates(spark, sf_dir):
-    return mining.candidate_spans(mining.positives(_items(spark, sf_dir))).select("span", "n", F.col("r").cast("long").alias("r"))
-
-
-@query("regex_patterns", f"SELECT r, span, round(recall, 6) AS recall FROM (SELECT r, span, (SELECT avg(contains(lower(text || ' '), span)::INT) FROM benchmark) AS recall FROM ({_SPANS.format(20)})) WHERE recall >= 0.05")
-def regex_patterns(spark, sf_dir):
-    p = mining.regex_patterns(_items(spark, sf_dir), min_precision=0.05)
-    return p.select(F.col("r").cast("long").alias("r"), "span", F.round("recall", 6).alias("recall"))
-
-
 _FIRST = f"(SELECT label, replace(substr(min_by(input, idx), 1, 80), '\"', '\\\"') AS s FROM {_LAB} GROUP BY label)"
 
 
@@ -529,12 +505,6 @@ def audit_tamper(spark, sf_dir):
     return governance.verify_chain(bad).select("chain", "valid")
 
 
-@query("promote_artifacts", "SELECT name, CASE kind WHEN 'regex' THEN 'promoted' WHEN 'policy' THEN 'refused' ELSE 'skipped' END AS status FROM (SELECT unnest(['regex', 'policy', 'steering']) AS kind, unnest(['a', 'b', 'c']) AS name)")
-def promote_artifacts(spark, sf_dir):
-    rows = [("regex", "a", "x"), ("policy", "b", "y"), ("steering", "c", None)]
-    return governance.promote(spark.createDataFrame(rows, "kind string, name string, payload string")).select("name", "status")
-
-
 @query("decision_rate_windows", "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def decision_rate_windows(spark, sf_dir):
     from wardline.streaming.stateful import decision_rates
@@ -569,3 +539,6 @@ def compile_guards(spark, sf_dir):
     rows = mining.first_word_clusters(_failed(spark, sf_dir))
     targets = {"cedar": lambda x: mining.policy_rules(x).withColumnRenamed("rule", "payload"), "cases": lambda x: mining.deliberative_cases(x).withColumnRenamed("rendered", "payload")}
     return mining.compile_guards(rows, targets)[0].select("kind", "name", "label", "n", "summary")
+
+
+from wardline import catalogue_io  # noqa: E402, F401 - registers the queries that write and read

@@ -66,6 +66,16 @@ def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
 
 
+def span(d: Column, name: str, start: Column, end: Column, parent: Column | None = None) -> Column:
+    """A trace span of a decision: name, ids, times, status and attributes, with the evidence as an event where it is a violation."""
+    kind = "struct<name:string,at:timestamp,attributes:map<string,string>>"
+    event = F.struct(F.lit("violation"), end.cast("timestamp"), F.map_from_arrays(F.array(F.lit("violation.severity"), F.lit("violation.rationale")), F.array(d["severity"], d["rationale"]))).cast(kind)
+    return F.struct(
+        F.lit(name).alias("name"), F.substring(stable_id(F.lit(name), start, end, d["guard_name"]), 1, 16).alias("span_id"), (parent if parent is not None else F.lit(None)).cast("string").alias("parent_id"), start.cast("timestamp").alias("start"), end.cast("timestamp").alias("end"),
+        F.when(terminal(d), "ERROR").otherwise("OK").alias("status"), attributes(d).alias("attributes"), F.when(terminal(d), F.array(event)).otherwise(F.array().cast(f"array<{kind}>")).alias("events"),
+    )
+
+
 def attributes(d: Column, namespace: str = "guard") -> Column:
     """The decision as a flat telemetry map; nulls are left out."""
     from wardline.functions.redaction import clip

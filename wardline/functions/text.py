@@ -55,8 +55,8 @@ def _possible(text: Column, label: str, pattern: str) -> Column:
 
 def first_matches(text: Column, patterns: dict[str, str], flags: str = DIALECT) -> Column:
     """array<struct<label, span>>: the first match of each pattern that has one, in the patterns' order."""
-    hits = [F.when(_possible(text, k, p) & text.rlike(flags + p), F.struct(F.lit(k).alias("label"), F.regexp_extract(text, flags + p, 0).alias("span"))) for k, p in patterns.items()]
-    return F.array_compact(F.array(*hits))
+    spans = [F.struct(F.lit(k).alias("label"), F.when(_possible(text, k, p), F.regexp_extract(text, flags + p, 0)).alias("span")) for k, p in patterns.items()]
+    return F.filter(F.array(*spans), lambda h: h["span"] != "")
 
 
 def regex_guard(patterns: dict[str, str] | None = None, *, redact: bool = False, flags: str = DIALECT, name: str = "regex", tier: int = 1, most: int = TAIL):
@@ -69,8 +69,7 @@ def regex_guard(patterns: dict[str, str] | None = None, *, redact: bool = False,
         labels = F.concat_ws(", ", F.transform(hits, lambda h: h["label"]))
         evidence = F.to_json(F.struct(hits.alias("matches")))
         if redact:
-            spans = F.array(*(F.regexp_extract(text, flags + p, 0) for p in patterns.values()))
-            new = F.aggregate(spans, text, lambda t, span: F.when(span != "", F.replace(t, span, F.lit("[REDACTED]"))).otherwise(t))
+            new = F.aggregate(hits, text, lambda t, h: F.replace(t, h["span"], F.lit("[REDACTED]")))
             found = D.transform(new, tier=tier, rationale=F.concat(F.lit("redacted: "), labels), evidence=evidence, guard=name)
         else:
             found = D.block(tier=tier, rationale=F.concat(F.lit("matched: "), labels), evidence=evidence, guard=name)
@@ -137,6 +136,29 @@ def trigger_guard(triggers: list[str], name: str = "stub-classifier", tier: int
     return guard
 
 
+def python_guard(check, name: str, tier: int = 2):
+    """A guard in Python: check(text) says whether to block. One that raises allows the row, with the error as evidence."""
+
+    @F.pandas_udf("struct<hit:boolean,error:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        hit, error = [], []
+        for t in texts:
+            try:
+                hit.append(bool(check(t)))
+                error.append(None)
+            except Exception as e:
+                hit.append(False)
+                error.append(type(e).__name__)
+        return pd.DataFrame({"hit": hit, "error": error})
+
+    def guard(ctx: dict[str, Column]) -> Column:
+        r = run(either(ctx["chunk"], ctx.get("buffer", F.lit(None))))
+        failed = D.allow(tier=tier, rationale="guard failed; open", evidence=F.to_json(F.struct(r["error"].alias("error"))), guard=name)
+        return F.when(r["error"].isNotNull(), failed).when(r["hit"], D.block(tier=tier, rationale="matched", guard=name)).otherwise(D.allow(tier=tier, guard=name))
+
+    return guard
+
+
 def screen(text: Column, extra: tuple[str, ...] = ()) -> Column:
     """The injection patterns that a description matches, in order."""
     return F.array_compact(F.array(*(F.when(text.rlike(DIALECT_IM + p), F.lit(p)) for p in INJECTION + extra)))

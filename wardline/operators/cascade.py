@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -59,11 +60,23 @@ class GuardPipeline:
         return self.resolve(*(self.run_tier(n, ctx) for n in (1, 2, 3)), **ms)
 
     def apply(self, df: DataFrame, chunk: str = "chunk", buffer: str | None = None, name: str = "decision", **ms: Column) -> DataFrame:
-        """Adds the decision. Each guard and each tier is a column of its own first, so that no pattern is matched once for every use of its result."""
+        """Adds the decision.
+
+        Each guard and each tier is a column of its own first, so that no pattern is matched once for every use of its
+        result. The guards of a tier run where the tiers before leave the row open, and are null elsewhere.
+        """
         ctx = {"chunk": F.col(chunk), "buffer": F.col(buffer) if buffer else F.lit(None).cast("string")}
-        tiers = (self.tier1, self.tier2, self.tier3)
-        out = df.withColumns({f"_g{n}_{i}": g(ctx) for n, tier in enumerate(tiers, 1) for i, g in enumerate(tier)}) if any(tiers) else df
-        out = out.withColumns({f"_t{n}": D.combine([F.col(f"_g{n}_{i}") for i in range(len(tier))], n) for n, tier in enumerate(tiers, 1)})
+        out, open_ = df, F.lit(True)
+        for n, tier in enumerate((self.tier1, self.tier2, self.tier3), 1):
+            if tier:
+                out = out.withColumns({f"_g{n}_{i}": g(ctx) if n == 1 else F.when(open_, g(ctx)) for i, g in enumerate(tier)})
+            one = D.combine([F.col(f"_g{n}_{i}") for i in range(len(tier))], n)
+            out = out.withColumn(f"_t{n}", one if n == 1 else F.when(open_, one))
+            if n < 3:
+                left = ~D.terminal(F.col(f"_t{n}"))
+                left = left & self.in_band(F.col("_t2.confidence")) if n == 2 else left
+                out = out.withColumn(f"_o{n}", F.coalesce(left, F.lit(False)))
+                open_ = F.col(f"_o{n}")
         return out.select(*(F.col(c) for c in df.columns if c != name), self.resolve(F.col("_t1"), F.col("_t2"), F.col("_t3"), **ms).alias(name))
 
     def apply_split(self, df: DataFrame, heavy: Callable[[DataFrame], DataFrame], chunk: str = "chunk", name: str = "decision") -> DataFrame:
@@ -83,6 +96,24 @@ class GuardPipeline:
         return two.withColumn("_d", before).where("_d = 0").select(key, seq, "decision", D.render(F.col("decision"), F.col("_c")).alias("emitted"))
 
 
+def violations(decided: DataFrame, name: str = "decision") -> DataFrame:
+    """The rows whose decision is terminal: what a violation hook is given."""
+    return decided.where(D.terminal(F.col(name)))
+
+
+def on_violation(stream: DataFrame, hook: Callable[[DataFrame, int], None], name: str = "decision"):
+    """A stream writer that hands each batch's violations to hook; a hook that raises is reported and doesn't stop the stream."""
+    log = logging.getLogger(__name__)
+
+    def each(batch: DataFrame, number: int) -> None:
+        try:
+            hook(violations(batch, name), number)
+        except Exception:
+            log.exception("violation hook failed on batch %d", number)
+
+    return stream.writeStream.foreachBatch(each)
+
+
 def latency_report(df: DataFrame, column: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
     """Percentiles of measured latencies: what the budget's name promises."""
     return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), *(F.percentile_approx(column, q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)))

@@ -71,10 +71,25 @@ def elements(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_e", F.explode(t["value"])).withColumn(column, tainted(F.col("_e"), t["provenance"], t["capabilities"], t["integrity"])).drop("_e")
 
 
-def join_all(args: DataFrame, *keys: str) -> DataFrame:
-    """provenance, capabilities and integrity of each group of labelled arguments (columns of those names); no arguments: empty and trusted."""
+def item(t: Column, key) -> Column:
+    """The element of a labelled array (by its number from 1) or map; it inherits the labels."""
+    return tainted(F.try_element_at(t["value"], key if isinstance(key, Column) else F.lit(key)), t["provenance"], t["capabilities"], t["integrity"])
+
+
+def length(t: Column) -> Column:
+    """A bare number of elements."""
+    return F.size(t["value"])
+
+
+def holds(t: Column, value) -> Column:
+    """A bare truth value."""
+    return F.array_contains(t["value"], value)
+
+
+def join_all(args: DataFrame, *keys: str, **more: Column) -> DataFrame:
+    """provenance, capabilities and integrity of each group of labelled arguments (columns of those names), and further aggregates; no arguments: empty and trusted."""
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
-    return args.groupBy(*keys).agg(union(F.col("provenance")).alias("provenance"), union(F.col("capabilities")).alias("capabilities"), F.coalesce(F.max("integrity"), F.lit(0)).alias("integrity"))
+    return args.groupBy(*keys).agg(union(F.col("provenance")).alias("provenance"), union(F.col("capabilities")).alias("capabilities"), F.coalesce(F.max("integrity"), F.lit(0)).alias("integrity"), *(c.alias(k) for k, c in more.items()))
 
 
 def lift_args(df: DataFrame, arg: str = "value", surface: str = "llm.output") -> DataFrame:

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import json
+from collections.abc import Iterator
+from dataclasses import replace
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from wardline.functions import decision as D
+from wardline.functions import text
+from wardline.operators.cascade import Guard, GuardPipeline
+from wardline.session import staged
 
 AUDIT = "chain string, seq long, id string, event string, timestamp double, actor string, payload string, prev_hash string, hash string"
 DEPLOYABLE = ("regex", "classifier")
@@ -30,6 +42,47 @@ def guards_of(patterns: DataFrame, label: int) -> dict[str, str]:
     return {f"cluster_{label}_{i}": "\\Q" + r.span + "\\E" for i, r in enumerate(rows)}
 
 
+def materialize(kind: str, name: str, payload) -> Guard:
+    """A guard of an artifact: named patterns for regex, a callable of texts for classifier; other kinds aren't deployed by themselves."""
+    if kind == "regex":
+        return text.pattern_guard(payload if isinstance(payload, dict) else {f"{name}_{i}": p for i, p in enumerate(json.loads(payload))}, name=name)
+    if kind == "classifier":
+        return text.python_guard(payload, name)
+    raise ValueError(f"not deployed automatically: {kind}")
+
+
+def attach(pipeline: GuardPipeline, kind: str, guard: Guard) -> GuardPipeline:
+    """The pipeline with one more guard: patterns in tier 1, anything else in tier 2."""
+    tier = "tier1" if kind == "regex" else "tier2"
+    return replace(pipeline, **{tier: [*getattr(pipeline, tier), guard]})
+
+
+def canaried(df: DataFrame, base: GuardPipeline, promoted: GuardPipeline, chunk: str, id_: str, percent: float, shadow: bool = False) -> DataFrame:
+    """decision and canary of each row: the promoted pipeline decides the rows in the canary, the base all others.
+
+    With shadow, the base decides every row and a column shadow holds what the promoted one would say in the canary.
+    """
+    mine = in_canary(F.col(id_), percent)
+    both = promoted.apply(base.apply(df.withColumn("canary", mine), chunk, name="decision"), chunk, name="_p")
+    if shadow:
+        return both.withColumn("shadow", F.when(F.col("canary"), F.col("_p"))).drop("_p")
+    return both.withColumn("decision", F.when(F.col("canary"), F.col("_p")).otherwise(F.col("decision"))).drop("_p")
+
+
+STATE = "promoted array<string>, shadow_only boolean, fp_budget double, canary_percent double, timestamp double"
+
+
+def write_state_of(promoted: DataFrame, path: str, timestamp: float, shadow: bool = False, fp_budget: float = 0.005, percent: float = 1.0) -> None:
+    """What was promoted (rows of promote), as one JSON row: the state names guards, one for each cluster at most."""
+    names = F.array_sort(F.collect_list(F.when(F.col("status") == ("shadow" if shadow else "promoted"), F.col("name"))))
+    row = promoted.agg(names.alias("promoted"), F.lit(shadow).alias("shadow_only"), F.lit(fp_budget).alias("fp_budget"), F.lit(percent).alias("canary_percent"), F.lit(timestamp).alias("timestamp"))
+    row.write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATE).json(path)
+
+
 def false_positives(decisions: DataFrame, blocked: Column, benign: Column, budget: float = 0.005, by: list[str] | None = None) -> DataFrame:
     """fp_rate among benign rows, and rolled_back if it exceeds the budget."""
     rate = F.avg(F.when(benign, blocked.cast("double")))
@@ -47,17 +100,51 @@ def entry_hash(prev: Column) -> Column:
 
 
 def append_chain(entries: DataFrame, chain: str = "chain", last: DataFrame | None = None) -> DataFrame:
-    """entries (chain, seq, id, event, timestamp, actor, payload) with prev_hash and hash. Serial within a chain, parallel over chains; last (chain, hash) resumes."""
-    body = F.struct(F.col("seq").alias("s"), F.struct("id", "event", "timestamp", "actor", "payload", *(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}).alias(f"_{c}") for c in ("actor", "event", "id", "payload"))).alias("b"))
-    grouped = entries.groupBy(chain).agg(F.array_sort(F.collect_list(body)).alias("l"))
-    if last is not None:
-        grouped = grouped.join(last.select(chain, F.col("hash").alias("_last")), chain, "left")
-    else:
-        grouped = grouped.withColumn("_last", F.lit(None).cast("string"))
-    step = lambda h, x: F.sha2(F.concat_ws("|", x["b"]["_actor"], x["b"]["_event"], x["b"]["_id"], x["b"]["_payload"], F.coalesce(h, F.lit("null")), F.coalesce(x["b"]["timestamp"].cast("string"), F.lit("null"))), 256)
-    hashes = F.aggregate("l", F.array(F.col("_last")).cast("array<string>"), lambda hs, x: F.concat(hs, F.array(step(F.element_at(hs, -1), x))))
-    out = grouped.select(chain, "l", hashes.alias("hs")).select(chain, F.explode(F.arrays_zip("l", F.slice("hs", 1, F.size("l")).alias("p"), F.slice("hs", 2, F.size("l")).alias("h"))).alias("z"))
-    return out.select(chain, F.col("z.l.s").alias("seq"), *(F.col(f"z.l.b.{c}").alias(c) for c in ("id", "event", "timestamp", "actor", "payload")), F.col("z.p").alias("prev_hash"), F.col("z.h").alias("hash"))
+    """entries (chain, seq, id, event, timestamp, actor, payload) with prev_hash and hash; last (chain, hash) resumes.
+
+    Serial within a chain, parallel over chains: a chain's entries stream through one task in order, which holds one hash.
+    """
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
+    names = ["id", "event", "timestamp", "actor", "payload"]
+    rows = entries.select(F.col(chain), "seq", *names, F.concat_ws("|", *(text(c) for c in ("actor", "event", "id", "payload"))).alias("_body"), F.coalesce(F.col("timestamp").cast("string"), F.lit("null")).alias("_ts"))
+    rows = rows.join(last.select(chain, F.col("hash").alias("_last")), chain, "left") if last is not None else rows.withColumn("_last", F.lit(None).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, prev, begun = None, None, False
+        for batch in batches:
+            before, after = [], []
+            for key, body, ts, given in zip(*(batch.column(c).to_pylist() for c in (chain, "_body", "_ts", "_last"))):
+                if not begun or key != here:
+                    here, prev, begun = key, given, True
+                before.append(prev)
+                prev = hashlib.sha256(f"{body}|{'null' if prev is None else prev}|{ts}".encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (chain, "seq", *names)), pa.array(before, pa.string()), pa.array(after, pa.string())], [chain, "seq", *names, "prev_hash", "hash"])
+
+    schema = entries.select(chain, "seq", *names, F.lit("").cast("string").alias("prev_hash"), F.lit("").cast("string").alias("hash")).schema
+    ordered = rows.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), chain).sortWithinPartitions(chain, "seq")
+    return ordered.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in schema]))
+
+
+def write_log(entries: DataFrame, path: str) -> None:
+    """Appends hashed entries to a log of JSON lines."""
+    line = F.to_json(F.struct(*entries.columns), {"ignoreNullFields": "false"})
+    entries.select(line.alias("value")).write.mode("append").text(path)
+
+
+def log_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a log; none where it isn't there. A malformed line fails the job."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], AUDIT)
+    return spark.read.text(path).select(F.from_json("value", AUDIT, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Entries hashed on from the last of their chain in the log, and appended to it. One writer at a time."""
+    old = log_entries(entries.sparkSession, path)
+    last = old.groupBy("chain").agg(F.max_by("hash", "seq").alias("hash"))
+    write_log(staged(append_chain(entries, last=last)), path)
 
 
 def verify_chain(audit: DataFrame, chain: str = "chain") -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import numbered, staged
+
+#: Characters of the candidate spans.
+SHORTEST, LONGEST = 8, 29
 WORDS = r"(?Ud)(\w+)"
 
 
@@ -21,8 +25,8 @@ def first_word_clusters(failures: DataFrame) -> DataFrame:
     """Adds label: the number of the text's first word, words numbered as they first appear by idx."""
     word = F.coalesce(F.nullif(F.regexp_extract(F.lower(cluster_text()), WORDS, 1), F.lit("")), F.lit("_"))
     words = failures.select(word.alias("_w"), "idx").groupBy("_w").agg(F.min("idx").alias("_first"))
-    numbered = words.select("_w", (F.row_number().over(Window.orderBy("_first", "_w")) - 1).alias("label"))  # one row a word
-    return failures.withColumn("_w", word).join(numbered, "_w").drop("_w")
+    numbers = numbered(words, "label", F.col("_first"), F.col("_w")).select("_w", F.col("label").cast("int").alias("label"))
+    return failures.withColumn("_w", word).join(numbers, "_w").drop("_w")
 
 
 def kmeans_clusters(failures: DataFrame, features: str | None = None, min_cluster_size: int = 5, method: str = "kmeans", seed: int = 0) -> DataFrame:
@@ -45,7 +49,7 @@ def kmeans_clusters(failures: DataFrame, features: str | None = None, min_cluste
 def clusters(labelled: DataFrame) -> DataFrame:
     """label, n, asr, ord: the clusters from the largest down, noise (-1) dropped; ties as they first appear."""
     rows = labelled.where("label <> -1").groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("was_violation").cast("double")).alias("asr"), F.min("idx").alias("first_idx"))
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("n"), "first_idx")))
+    return numbered(rows, "ord", F.desc("n"), F.col("first_idx")).withColumn("ord", F.col("ord") + 1)
 
 
 def _span(n: int):
@@ -72,18 +76,30 @@ def positives(labelled: DataFrame) -> DataFrame:
     return labelled.where("was_violation").select("label", "idx", F.concat(F.col("input"), F.lit(" "), F.col("output")).alias("text"))
 
 
-def candidate_spans(texts: DataFrame, shortest: int = 8, longest: int = 29, keep: int = 50) -> DataFrame:
+def windows(texts: DataFrame, keys: list[str], shortest: int, longest: int) -> DataFrame:
+    """keys, i, h, w: of each position of the lower-cased text the next shortest characters and the next longest ones (fewer at the end). The text itself stays behind."""
+    low = texts.select(*keys, F.lower("text").alias("_t")).where(F.length("_t") >= shortest)
+    cut = F.transform(F.sequence(F.lit(1), F.length("_t") - shortest + 1), lambda i: F.struct(i.alias("i"), F.substring("_t", i, F.lit(longest)).alias("w")))
+    return low.select(*keys, F.explode(cut).alias("_x")).select(*keys, "_x.i", F.substring("_x.w", 1, shortest).alias("h"), "_x.w")
+
+
+def held_by(texts: DataFrame, spans: DataFrame, keys: list[str], on: list[str], shortest: int, longest: int) -> DataFrame:
+    """keys, label, r: the spans that each text holds, found by a join on their first characters."""
+    tagged = spans.select("label", "r", "span", F.substring("span", 1, shortest).alias("h"))
+    met = windows(texts, keys, shortest, longest).join(tagged, ["h", *on]).where(F.startswith("w", "span"))
+    return met.select(*dict.fromkeys([*keys, "label", "r"])).distinct()
+
+
+def candidate_spans(texts: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, keep: int = 50) -> DataFrame:
     """label, span, n, r: the commonest substrings of each cluster's (label, idx, text); at least twice; ties by length, text, position.
 
     Two phases: a substring that occurs twice begins with a shortest substring that does, so only those positions are extended.
     """
-    low = texts.select("label", "idx", F.lower("text").alias("t"))
-    starts = low.where(F.length("t") >= shortest).select("label", "idx", "t", F.explode(F.sequence(F.lit(1), F.length("t") - shortest + 1)).alias("i"))
-    heads = starts.withColumn("h", F.substring("t", F.col("i"), F.lit(shortest)))
+    heads = windows(texts, ["label", "idx"], shortest, longest)
     often = heads.groupBy("label", "h").agg(F.count("*").alias("c")).where("c >= 2").drop("c")
     kept = heads.join(often, ["label", "h"])
-    spans = kept.select("label", "idx", "i", "t", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("t") - F.col("i") + 1))).alias("k"))
-    counted = spans.groupBy("label", F.substring("t", F.col("i"), F.col("k")).alias("span")).agg(F.count("*").alias("n"), F.min(F.struct("k", "idx", "i")).alias("at")).where("n >= 2")
+    spans = kept.select("label", "idx", "i", "w", F.explode(F.sequence(F.lit(shortest), F.length("w"))).alias("k"))
+    counted = spans.groupBy("label", F.substring("w", F.lit(1), F.col("k")).alias("span")).agg(F.count("*").alias("n"), F.min(F.struct("k", "idx", "i")).alias("at")).where("n >= 2")
     r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "at"))
     return counted.withColumn("r", r).where(F.col("r") <= keep).select("label", "span", "n", "r")
 
@@ -94,13 +110,20 @@ def regex_patterns(labelled: DataFrame, min_precision: float = 0.99, max_pattern
     With a benign table (text), the share of benign texts that hold the span: what a precision would rest on.
     """
     pos = positives(labelled)
-    pos = pos.join(pos.groupBy("label").agg(F.count("*").alias("_n")).where("_n >= 4"), "label")
-    spans = candidate_spans(pos.drop("_n"), shortest).where(F.col("r") <= max_patterns)
-    held = pos.join(spans, "label").groupBy("label", "r", "span").agg(F.avg(F.contains(F.lower("text"), F.col("span")).cast("double")).alias("recall")).where(F.col("recall") >= min_precision)
+    sizes = pos.groupBy("label").agg(F.count("*").alias("_n")).where("_n >= 4")
+    pos = pos.join(sizes.select("label"), "label", "left_semi")
+    longest = max(LONGEST, shortest)
+    spans = staged(candidate_spans(pos, shortest, longest).where(F.col("r") <= max_patterns))
+    hits = held_by(pos, spans, ["label", "idx"], ["label"], shortest, longest).groupBy("label", "r").agg(F.count("*").alias("_c"))
+    held = spans.join(hits, ["label", "r"]).join(sizes, "label").select("label", "r", "span", (F.col("_c") / F.col("_n")).alias("recall")).where(F.col("recall") >= min_precision)
     if benign is None:
         return held
-    hits = benign.select(F.lower("text").alias("_t")).crossJoin(held.select("label", "r", "span")).groupBy("label", "r").agg(F.avg(F.contains("_t", F.col("span")).cast("double")).alias("benign_rate"))
-    return held.join(hits, ["label", "r"], "left")
+    held = staged(held)
+    rows = staged(benign.select("text", F.monotonically_increasing_id().alias("_row")))
+    met = held_by(rows, held, ["_row"], [], shortest, longest).groupBy("label", "r").agg(F.count("*").alias("_b"))
+    many = F.broadcast(rows.agg(F.count("*").alias("_m")))  # one row
+    rate = F.when(F.col("_m") > 0, F.coalesce("_b", F.lit(0)) / F.col("_m"))
+    return held.join(met, ["label", "r"], "left").join(many).select("label", "r", "span", "recall", rate.alias("benign_rate"))
 
 
 def policy_rules(labelled: DataFrame, dsl: str = "cedar") -> DataFrame:

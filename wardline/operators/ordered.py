@@ -98,6 +98,10 @@ class Progress:
         reason = F.when(F.col("duplicate").isNotNull(), "duplicate_call").when(F.col("cycle").isNotNull(), "cycle").when(F.col("stagnant"), "stagnation").when(F.col("no_progress"), "semantic")
         return df.withColumn("loop_reason", reason)
 
+    def history(self, fp: Column, w) -> Column:
+        """The fingerprints of the window up to each step, the oldest first."""
+        return F.collect_list(fp).over(w.rowsBetween(1 - self.window, 0))
+
     def decision(self) -> Column:
         from wardline.functions import decision as D
 

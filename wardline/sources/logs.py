@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FAILURES = "id string, input string, output string, was_violation boolean, attack_category string, severity string, scorer string, score double, metadata string, timestamp double, source string, idx long"
+#: A source of failures: whatever gives a frame of FAILURES.
+Source = Callable[[SparkSession], DataFrame]
 TRUE_WORDS = ("true", "violation", "unsafe", "fail", "1", "yes")
 
 
@@ -31,8 +35,9 @@ def as_float(c: Column) -> Column:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, idx, line, obj): the non-blank lines with their number, blank ones counted; parsed, or the job fails."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("idx", "line"))
-    rows = whole.select("file", F.col("idx").cast("long").alias("idx"), F.trim("line").alias("line")).where("line <> ''")
+    split = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
+    number = F.row_number().over(Window.partitionBy("file").orderBy("_b", "_m")) - 1
+    rows = split.select("file", number.cast("long").alias("idx"), F.trim("value").alias("line")).where("line <> ''")
     return rows.withColumn("obj", F.parse_json("line"))
 
 
@@ -99,8 +104,19 @@ def evaluation_log(spark: SparkSession, path: str, only_violations: bool = True)
     )
 
 
-def traces(df: DataFrame) -> DataFrame:
-    """Production traces (id, input, output, metadata map): a violation is any guard action but allow. All rows are kept."""
+def gathered(spark: SparkSession, *sources: Source) -> DataFrame:
+    """The failures of several sources in one table, with its columns in order and of its types."""
+    kinds = [x.split() for x in FAILURES.split(", ")]
+    out = spark.createDataFrame([], FAILURES)
+    for source in sources:
+        out = out.unionByName(source(spark).select(*(F.col(name).cast(kind).alias(name) for name, kind in kinds)))
+    return out
+
+
+def traces(df: DataFrame, where: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Production traces (id, input, output, metadata map): a violation is any guard action but allow. All rows are kept, or those of a filter, or the first by id."""
+    df = df if where is None else df.where(where)
+    df = df if limit is None else df.orderBy("id").limit(limit)
     action = F.element_at("metadata", F.lit("guard_action"))
     rows = df.withColumns({"line": F.to_json("metadata"), "idx": F.monotonically_increasing_id()})
     return _failures(rows, "traces", False, id=F.coalesce(F.col("id").cast("string"), F.concat(F.lit("trace-"), F.col("idx").cast("string"))), input=F.coalesce("input", F.lit("")), output=F.coalesce("output", F.lit("")), was_violation=F.coalesce(action != "allow", F.lit(False)), attack_category=F.element_at("metadata", F.lit("attack_category")))
