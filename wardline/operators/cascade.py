@@ -97,8 +97,11 @@ class GuardPipeline:
 
 
 def violations(decided: DataFrame, name: str = "decision") -> DataFrame:
-    """The rows whose decision is terminal: what a violation hook is given."""
-    return decided.where(D.terminal(F.col(name)))
+    """The rows whose decision is terminal: what a violation hook is given.
+
+    The numbered rows keep the filter above the decision; below it, every guard would be evaluated once for each use.
+    """
+    return decided.withColumn("_n", F.monotonically_increasing_id()).where(D.terminal(F.col(name)) & (F.col("_n") >= 0)).drop("_n")
 
 
 def on_violation(stream: DataFrame, hook: Callable[[DataFrame, int], None], name: str = "decision"):

@@ -101,7 +101,7 @@ class MLPProbe:
 
 
 def model_scorer(load: Callable[[], Callable[[list[str]], list[float]]]):
-    """A pandas UDF text -> struct(p, error). load runs once in a worker; a row whose model or call fails gets a null p and the error."""
+    """A pandas UDF text -> struct(p, error). load runs once in a worker; the model scores a batch at a time, and its rows one by one if that fails. A row whose model or call fails gets a null p and the error."""
 
     @F.pandas_udf("struct<p:double,error:string>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -110,16 +110,22 @@ def model_scorer(load: Callable[[], Callable[[list[str]], list[float]]]):
         except Exception as e:
             model, broken = None, repr(e)
         for texts in batches:
-            p, error = [], []
-            for t in texts:
-                try:
-                    if broken:
-                        raise RuntimeError(broken)
-                    p.append(float(model([t])[0]) if t else None)
-                    error.append(None)
-                except Exception as e:
-                    p.append(None)
-                    error.append(repr(e))
+            rows = texts.tolist()
+            p: list[float | None] = [None] * len(rows)
+            error: list[str | None] = [repr(RuntimeError(broken)) if broken else None] * len(rows)
+            at = [i for i, t in enumerate(rows) if t and not broken]
+            try:
+                got = [float(x) for x in model([rows[i] for i in at])] if at else []
+                if len(got) != len(at):
+                    raise ValueError("a score for each text is needed")
+                for i, x in zip(at, got):
+                    p[i] = x
+            except Exception:
+                for i in at:
+                    try:
+                        p[i] = float(model([rows[i]])[0])
+                    except Exception as e:
+                        error[i] = repr(e)
             yield pd.DataFrame({"p": p, "error": error})
 
     return score

@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 
 
 def guard_stream(stream: DataFrame, key: str, seq: str, chunk: str, verdict: Callable[[str, str], tuple[str, str]]) -> DataFrame:
-    """key, seq, action, emitted of each chunk up to a stream's first block or escalate. verdict(chunk, buffer) gives (action, text). State: the buffer and whether the stream is over."""
+    """key, seq, action, emitted, error of each chunk up to a stream's first block or escalate. verdict(chunk, buffer) gives (action, text); one that raises allows the chunk, and the error is told. State: the buffer and whether the stream is over."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         buffer, over = state.get if state.exists else ("", False)
         rows = []
-        for _, r in pd.concat(list(batches)).sort_values("seq").iterrows():
+        fresh = pd.concat(list(batches)).sort_values("seq")
+        for number, text in zip(fresh["seq"].tolist(), fresh["chunk"].tolist()):
             if over:
                 break
-            text = r["chunk"] or ""
+            text, error = text or "", None
             buffer += text
             try:
                 action, out = verdict(text, buffer)
-            except Exception:
-                action, out = "allow", text
-            rows.append((k[0], r["seq"], action, out))
+            except Exception as e:
+                action, out, error = "allow", text, type(e).__name__
+            rows.append((k[0], number, action, out, error))
             over = action in ("block", "escalate")
         state.update(("" if over else buffer, over))
-        yield pd.DataFrame(rows, columns=["key", "seq", "action", "emitted"])
+        yield pd.DataFrame(rows, columns=["key", "seq", "action", "emitted", "error"])
 
     flat = stream.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), F.col(chunk).alias("chunk"))
-    return flat.groupBy("key").applyInPandasWithState(run, "key string, seq long, action string, emitted string", "buffer string, over boolean", "append", "NoTimeout")
+    return flat.groupBy("key").applyInPandasWithState(run, "key string, seq long, action string, emitted string, error string", "buffer string, over boolean", "append", "NoTimeout")
 
 
 def running_budget(stream: DataFrame, key: str, seq: str, amount: str, limit: float) -> DataFrame:
