@@ -73,6 +73,11 @@ def _whole(payload: str = "payload"):
     return F.unhex(F.sha2(F.col(payload), 256))
 
 
+def _short(whole):
+    """Half of a payload's SHA-256: enough to group by."""
+    return F.substring(whole, 1, 16)
+
+
 def _rows(payloads: DataFrame, key: str, column: str) -> DataFrame:
     return payloads.select(F.col(key).cast("long").alias("id"), F.col(column).cast("binary").alias("payload"))
 
@@ -126,7 +131,7 @@ def store(payloads: DataFrame, key: str, column: str) -> DataFrame:
             poly = textvec.polynomial(np.frombuffer(b"".join(parts), np.uint8), ends[:-1], ends[1:])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_()), pa.array(poly.view(np.int64))], [*batch.schema.names, "intact", "poly"])
 
-    owner = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "whole", "ord")).alias("owner")
+    owner = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", _short("whole").alias("whole"), "ord")).alias("owner")
     one = chunks(payloads, key, column, True).groupBy("digest").agg(F.first("packed").alias("packed"), F.first("length").alias("length"), F.count("*").alias("refs"), owner)
     return one.mapInArrow(check, "digest binary, packed binary, length long, refs long, owner struct<known:boolean,id:long,whole:binary,ord:int>, intact boolean, poly long")
 
@@ -169,7 +174,7 @@ def chunked(payloads: DataFrame, key: str = "page_id", column: str = "html") ->
     as digests.
     """
     kept = store(payloads, key, column).select("digest", F.col("length").alias("stored"), "owner", "intact", "poly")
-    mine = chunks(payloads, key, column, False).select("whole", "ord", "digest", "length", "total").distinct().join(kept, "digest", "left")
+    mine = chunks(payloads, key, column, False).select(_short("whole").alias("whole"), "ord", "digest", "length", "total").distinct().join(kept, "digest", "left")
     part = F.struct("ord", "digest", "length", "stored", "intact", "poly", (F.col("owner.whole") == F.col("whole")).alias("owned"), F.col("owner.id").alias("owner"))
     listed = mine.groupBy("whole").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(part)).alias("parts"))
     names = ("ord", "digest", "length", "stored", "intact", "poly", "owned", "owner")
@@ -193,7 +198,7 @@ def chunked(payloads: DataFrame, key: str = "page_id", column: str = "html") ->
             yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(n_bytes), pa.array(ok), lists["digest"], lists["length"], lists["owned"], lists["owner"]], [x.split()[0] for x in PARTS.split(", ")])
 
     checked = listed.select("whole", "total", *(F.col(f"parts.{c}").alias(c) for c in names)).mapInArrow(verify, PARTS)
-    rows = _rows(payloads, key, column).select("id", _whole().alias("whole"), F.octet_length("payload").cast("long").alias("size"))
+    rows = _rows(payloads, key, column).select("id", _short(_whole()).alias("whole"), F.octet_length("payload").cast("long").alias("size"))
     new = F.filter(F.arrays_zip("lengths", "owned", "owners"), lambda x: F.coalesce(x.owned, F.lit(False)) & x.owners.eqNullSafe(F.col("id")))
     there = F.col("whole").isNotNull()
     out = rows.join(checked, "whole", "left").select("id", "whole", "size", "n_bytes", "verified", "digests", F.coalesce(new, F.array().cast("array<struct<lengths:long,owned:boolean,owners:long>>")).alias("new"))
