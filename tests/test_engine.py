@@ -92,6 +92,21 @@ def test_audit_log_resumes_and_notices_changes(spark, tmp_path):
     assert governance.append_chain(entries.limit(0)).collect() == []
 
 
+def test_audit_chains_stay_whole_after_the_join(spark, tmp_path):
+    """The join with the log's last hashes is planned by sorting and, once they turn out few, done by broadcasting."""
+    entries = spark.range(4000, numPartitions=8).selectExpr("CASE WHEN id % 40 > 0 THEN 'c' || id % 40 END AS chain", "id AS seq", "'' || id AS id", "'e' AS event", "1D AS timestamp", "'me' AS actor", "'{}' AS payload")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        for part in ("seq < 2000", "seq >= 2000"):
+            governance.append_log(entries.where(part), str(tmp_path / "log"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    got = governance.verify_chain(governance.log_entries(spark, str(tmp_path / "log"))).collect()
+    assert len(got) == 40 and all(r.valid and r.n == 100 for r in got)
+
+
 def test_labelled_collections(spark):
     df = spark.createDataFrame([(["x", "y"], {"k": "v"})], "a array<string>, m map<string,string>")
     t, m = flow.lift(F.col("a"), "web"), flow.lift(F.col("m"), "web")

@@ -107,7 +107,11 @@ def append_chain(entries: DataFrame, chain: str = "chain", last: DataFrame | Non
     text = lambda c: F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
     names = ["id", "event", "timestamp", "actor", "payload"]
     rows = entries.select(F.col(chain), "seq", *names, F.concat_ws("|", *(text(c) for c in ("actor", "event", "id", "payload"))).alias("_body"), F.coalesce(F.col("timestamp").cast("string"), F.lit("null")).alias("_ts"))
-    rows = rows.join(last.select(chain, F.col("hash").alias("_last")), chain, "left") if last is not None else rows.withColumn("_last", F.lit(None).cast("string"))
+    if last is not None:
+        given = last.select(F.col(chain).alias("_chain"), F.col("hash").alias("_last"))
+        rows = rows.join(given, F.col(chain).eqNullSafe(F.col("_chain")), "left").drop("_chain")
+    else:
+        rows = rows.withColumn("_last", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, prev, begun = None, None, False
@@ -122,7 +126,8 @@ def append_chain(entries: DataFrame, chain: str = "chain", last: DataFrame | Non
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (chain, "seq", *names)), pa.array(before, pa.string()), pa.array(after, pa.string())], [chain, "seq", *names, "prev_hash", "hash"])
 
     schema = entries.select(chain, "seq", *names, F.lit("").cast("string").alias("prev_hash"), F.lit("").cast("string").alias("hash")).schema
-    ordered = rows.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), chain).sortWithinPartitions(chain, "seq")
+    # by a hash of the chain: a shuffle by the chain itself counts as a repetition of the join's and is left out, and the join's may then be read in other parts than whole chains
+    ordered = rows.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(chain)).sortWithinPartitions(chain, "seq")
     return ordered.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in schema]))
 
 
