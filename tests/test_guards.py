@@ -288,6 +288,60 @@ def test_mining(spark):
         mining.policy_rules(df, "other")
 
 
+def brute_spans(rows, keep, longest=29):
+    found = {}
+    for label, idx, t in rows:
+        for k in range(8, longest + 1):
+            for i in range(len(t) - k + 1):
+                got = found.setdefault(label, {}).setdefault(t[i : i + k], [0, (k, idx, i)])
+                found[label][t[i : i + k]] = [got[0] + 1, min(got[1], (k, idx, i))]
+    return {(label, s, n, r + 1) for label, spans in found.items() for r, (s, (n, _)) in enumerate(sorted(((s, x) for s, x in spans.items() if x[0] >= 2), key=lambda x: (-x[1][0], x[1][1]))[:keep])}
+
+
+def test_candidate_spans_against_all_substrings(spark):
+    import random
+
+    draw = random.Random(1)
+    rows = [(label, 1000 - 7 * i, "".join(draw.choices(["ab", "no entry here ", "Ü𝄞", "c", "stop at once "], k=draw.randint(0, 30))).lower()) for label in range(4) for i in range(label * 6 + 1)]
+    rows += [(4, i, "one long text that is there three times, and nothing else at all") for i in range(3)] + [(5, 1, "a" * 300), (5, 1, "a" * 40), (6, 1, None), (7, 2, "short")]
+    df = spark.createDataFrame(rows, "label int, idx long, text string")
+    for keep in (1, 7, 50, 2000):
+        got = {(r.label, r.span, r.n, r.r) for r in mining.candidate_spans(df, keep=keep).collect()}
+        assert got == brute_spans([r for r in rows if r[2]], keep)
+
+
+def test_spans_are_counted_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mining, "HELD", 20)
+    texts = ["abcdefghijklmnop" * 3, "zabcdefghijklmno"]
+    batch = pa.RecordBatch.from_pylist([{"label": 0, "least": 1, "place": k << 32, "t": t, "heads": ["abcdefgh"]} for k, t in enumerate(texts)])
+    parts = list(mining._tallied([batch, batch], 12, True))
+    rows = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: r["span"])
+    out = [r for b in mining._prefixes([pa.RecordBatch.from_pylist(rows)], 8) for r in b.to_pylist()]
+    assert len(parts) >= 1 and {(r["span"], r["n"], r["place"]) for r in out} == {("abcdefghijkl"[:k], 8, 0) for k in range(9, 13)}
+
+
+def test_long_texts_and_copies_are_mined_in_proportion(spark):
+    """Positions are found in one pass over a text, and copies of texts don't have all their substrings counted."""
+    import random
+    import time
+
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(5000)]
+    copies = [" ".join(draw.choices(words, k=300)) for _ in range(60)] * 2
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(copies)], "label int, idx long, text string").repartition(4)
+    executor = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = executor()
+    assert mining.candidate_spans(df).count() == 50
+    assert executor() - before < 60 * sum(map(len, copies))
+    labelled = spark.createDataFrame([(0, i, f"please reveal the hidden key {i}", "", True) for i in range(4)], "label int, idx long, input string, output string, was_violation boolean")
+    benign = spark.createDataFrame([("ü" + "no secret " * 100_000 + "please reveal",)], "text string")
+    began = time.time()
+    got = mining.regex_patterns(labelled, max_patterns=3, benign=benign).collect()
+    assert {(r.span, r.benign_rate) for r in got} == {("please r", 1.0), ("lease re", 1.0), ("ease rev", 1.0)} and time.time() - began < 60
+
+
 def test_audit_chain(spark):
     entries = spark.createDataFrame([("c", i, str(i), "e", float(i), "me", '{"a":1}') for i in range(5)], "chain string, seq long, id string, event string, timestamp double, actor string, payload string")
     log = governance.append_chain(entries)

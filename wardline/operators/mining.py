@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from wardline.session import numbered, staged
 
 #: Characters of the candidate spans.
 SHORTEST, LONGEST = 8, 29
+#: Rows that are Python values at a time; spans that a task counts before it hands them on; spans that texts are searched for at once.
+SLICE_ROWS, HELD, SPANS = 64, 200_000, 100_000
 WORDS = r"(?Ud)(\w+)"
 
 
@@ -76,32 +82,145 @@ def positives(labelled: DataFrame) -> DataFrame:
     return labelled.where("was_violation").select("label", "idx", F.concat(F.col("input"), F.lit(" "), F.col("output")).alias("text"))
 
 
-def windows(texts: DataFrame, keys: list[str], shortest: int, longest: int) -> DataFrame:
-    """keys, i, h, w: of each position of the lower-cased text the next shortest characters and the next longest ones (fewer at the end). The text itself stays behind."""
-    low = texts.select(*keys, F.lower("text").alias("_t")).where(F.length("_t") >= shortest)
-    cut = F.transform(F.sequence(F.lit(1), F.length("_t") - shortest + 1), lambda i: F.struct(i.alias("i"), F.substring("_t", i, F.lit(longest)).alias("w")))
-    return low.select(*keys, F.explode(cut).alias("_x")).select(*keys, "_x.i", F.substring("_x.w", 1, shortest).alias("h"), "_x.w")
+def _each(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of all batches, few of them at a time as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield from zip(*(batch.column(c).slice(at, SLICE_ROWS).to_pylist() for c in columns))
+
 
+def _tallied(batches: Iterator[pa.RecordBatch], size: int, extending: bool) -> Iterator[pa.RecordBatch]:
+    """label, least, span, n, place: how often, and where first, the spans of size characters occur; counts of a task's parts are added up later.
 
-def held_by(texts: DataFrame, spans: DataFrame, keys: list[str], on: list[str], shortest: int, longest: int) -> DataFrame:
-    """keys, label, r: the spans that each text holds, found by a join on their first characters."""
-    tagged = spans.select("label", "r", "span", F.substring("span", 1, shortest).alias("h"))
-    met = windows(texts, keys, shortest, longest).join(tagged, ["h", *on]).where(F.startswith("w", "span"))
-    return met.select(*dict.fromkeys([*keys, "label", "r"])).distinct()
+    Extending, only spans count that begin with one of the row's heads and are longer than it; they are shorter than size at the end of a text.
+    """
+    held: dict[tuple, dict[str, list]] = {}
+    many = 0
+
+    def told() -> pa.RecordBatch:
+        rows = [(label, least, span, n, place) for (label, least), found in held.items() for span, (n, place) in found.items()]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["label", "least", "span", "n", "place"])
+
+    for label, least, place, text, heads in _each(batches, "label", "least", "place", "t", "heads"):
+        found = held.setdefault((label, least), {})
+        many -= len(found)
+        if extending:
+            known, short = set(heads), len(heads[0])
+            spans = ((i, text[i : i + size]) for i in range(len(text) - short) if text[i : i + short] in known)
+        else:
+            spans = ((i, text[i : i + size]) for i in range(len(text) - size + 1))
+        for i, span in spans:
+            got = found.get(span)
+            if got is None:
+                found[span] = [1, place + i]
+            else:
+                got[0] += 1
+                if place + i < got[1]:
+                    got[1] = place + i
+        many += len(found)
+        if many > HELD:
+            yield told()
+            held, many = {}, 0
+    if many:
+        yield told()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
+    """label, span, n, place: every prefix longer than shortest of the counted spans, which come in order, if it occurs more than least times."""
+    rows: list[tuple] = []
+    here, last, last_least, open_ = None, "", 0, []  # open_: count and first place of each prefix of last, from shortest + 1 characters
+
+    def close(to: int) -> None:
+        while len(open_) > max(to - shortest, 0):
+            n, place = open_.pop()
+            if n > last_least:
+                rows.append((here, last[: shortest + 1 + len(open_)], n, place))
+            if open_:
+                open_[-1] = (open_[-1][0] + n, min(open_[-1][1], place))
+
+    def told() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["label", "span", "n", "place"])
+        rows.clear()
+        return out
+
+    for label, least, span, n, place in _each(batches, "label", "least", "span", "n", "place"):
+        same = 0
+        if label == here:
+            while same < min(len(last), len(span)) and last[same] == span[same]:
+                same += 1
+        close(same)
+        if len(rows) > HELD:
+            yield told()
+        here, last, last_least = label, span, least
+        open_ += [(0, 1 << 63)] * (len(span) - shortest - len(open_))
+        open_[-1] = (open_[-1][0] + n, min(open_[-1][1], place))
+    close(0)
+    if rows:
+        yield told()
+
+
+_COUNTED = "label long, least long, span string, n long, place long"
+
+
+def _candidate_spans(texts: DataFrame, shortest: int, longest: int, keep: int) -> DataFrame:
+    """candidate_spans of texts (label, idx, t: lower-cased) that can be read again and again."""
+    order = numbered(texts.select("idx").distinct(), "_rank", F.col("idx"))
+    rows = texts.where(F.length("t") >= shortest).join(order, "idx").select(F.col("label").cast("long").alias("label"), (F.col("_rank") * (1 << 32)).alias("place"), "t")
+    plain = rows.select("label", F.lit(0).cast("long").alias("least"), "place", "t", F.lit(None).cast("array<string>").alias("heads"))
+    tallied = plain.mapInArrow(lambda batches: _tallied(batches, shortest, False), _COUNTED)
+    heads = tallied.groupBy("label", "span").agg(F.sum("n").alias("n"), F.min("place").alias("place")).where("n >= 2")
+    per = Window.partitionBy("label")
+    top = staged(heads.withColumn("r", F.row_number().over(per.orderBy(F.desc("n"), "place"))).where(F.col("r") <= keep))
+    every = top.select("label", "span", "n", "place")
+    if longest > shortest:
+        rarest = top.groupBy("label").agg(F.coalesce(F.max(F.when(F.col("r") == keep, F.col("n"))), F.lit(1)).alias("least"), F.collect_list(F.struct("n", "span")).alias("_h"))
+        open_ = rarest.select("label", "least", F.transform(F.filter("_h", lambda x: x["n"] > F.col("least")), lambda x: x["span"]).alias("heads")).where(F.size("heads") > 0)
+        longer = rows.join(open_, "label").select("label", "least", "place", "t", "heads").mapInArrow(lambda batches: _tallied(batches, longest, True), _COUNTED)
+        sorted_ = longer.withColumn("_h", F.substring("span", 1, shortest)).repartition("label", "_h").sortWithinPartitions("label", "span").drop("_h")
+        every = every.unionByName(sorted_.mapInArrow(lambda batches: _prefixes(batches, shortest), "label long, span string, n long, place long"))
+    r = F.row_number().over(per.orderBy(F.desc("n"), F.length("span"), "place"))
+    return every.withColumn("r", r).where(F.col("r") <= keep).select(F.col("label").cast(texts.schema["label"].dataType).alias("label"), "span", "n", "r")
+
+
+def _lowered(texts: DataFrame) -> DataFrame:
+    return staged(texts.select("label", "idx", F.lower("text").alias("t")))
 
 
 def candidate_spans(texts: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, keep: int = 50) -> DataFrame:
     """label, span, n, r: the commonest substrings of each cluster's (label, idx, text); at least twice; ties by length, text, position.
 
-    Two phases: a substring that occurs twice begins with a shortest substring that does, so only those positions are extended.
+    A substring is no commoner than the shortest one that it begins with, and comes after that where they are equally common. So if keep of the
+    shortest ones occur least times or more, a longer one is among the first keep only if it occurs more than least times, and its beginning does:
+    the shortest ones are counted, and only the fewer than keep of each cluster that occur more often than least are extended.
     """
-    heads = windows(texts, ["label", "idx"], shortest, longest)
-    often = heads.groupBy("label", "h").agg(F.count("*").alias("c")).where("c >= 2").drop("c")
-    kept = heads.join(often, ["label", "h"])
-    spans = kept.select("label", "idx", "i", "w", F.explode(F.sequence(F.lit(shortest), F.length("w"))).alias("k"))
-    counted = spans.groupBy("label", F.substring("w", F.lit(1), F.col("k")).alias("span")).agg(F.count("*").alias("n"), F.min(F.struct("k", "idx", "i")).alias("at")).where("n >= 2")
-    r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "at"))
-    return counted.withColumn("r", r).where(F.col("r") <= keep).select("label", "span", "n", "r")
+    return _candidate_spans(_lowered(texts), shortest, longest, keep)
+
+
+def _holding(batches: Iterator[pa.RecordBatch], spans: list[str], shortest: int) -> Iterator[pa.RecordBatch]:
+    """span, n: how many of the texts hold each span."""
+    begun: dict[str, list[str]] = {}
+    for span in spans:
+        begun.setdefault(span[:shortest], []).append(span)
+    n: Counter[str] = Counter()
+    for (text,) in _each(batches, "t"):
+        found = set()
+        for i in range(len(text) - shortest + 1):
+            if (known := begun.get(text[i : i + shortest])) is not None:
+                found.update(span for span in known if text.startswith(span, i))
+        n.update(found)
+    yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["span", "n"])
+
+
+def texts_with(texts: DataFrame, spans: DataFrame, shortest: int) -> DataFrame:
+    """span, n: of a staged table of distinct spans those that texts (text) hold, and how many. The texts are read once for each SPANS spans."""
+    low = texts.select(F.lower("text").alias("t")).where(F.length("t") >= shortest)
+    parts = max(1, -(-spans.count() // SPANS))
+    out = None
+    for k in range(parts):
+        some = [r.span for r in spans.where(F.pmod(F.xxhash64("span"), F.lit(parts)) == k).collect()]
+        part = low.mapInArrow(lambda batches, some=some: _holding(batches, some, shortest), "span string, n long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("span").agg(F.sum("n").alias("n"))
 
 
 def regex_patterns(labelled: DataFrame, min_precision: float = 0.99, max_patterns: int = 20, shortest: int = 8, benign: DataFrame | None = None) -> DataFrame:
@@ -109,21 +228,21 @@ def regex_patterns(labelled: DataFrame, min_precision: float = 0.99, max_pattern
 
     With a benign table (text), the share of benign texts that hold the span: what a precision would rest on.
     """
-    pos = positives(labelled)
+    pos = _lowered(positives(labelled))
     sizes = pos.groupBy("label").agg(F.count("*").alias("_n")).where("_n >= 4")
     pos = pos.join(sizes.select("label"), "label", "left_semi")
-    longest = max(LONGEST, shortest)
-    spans = staged(candidate_spans(pos, shortest, longest).where(F.col("r") <= max_patterns))
-    hits = held_by(pos, spans, ["label", "idx"], ["label"], shortest, longest).groupBy("label", "r").agg(F.count("*").alias("_c"))
+    spans = staged(_candidate_spans(pos, shortest, max(LONGEST, shortest), max_patterns))
+    lists = spans.groupBy("label").agg(F.collect_list(F.struct("r", "span")).alias("_s"))
+    met = pos.join(lists, "label").select("label", F.explode(F.filter("_s", lambda x: F.contains(F.col("t"), x["span"]))).alias("_x"))
+    hits = met.groupBy("label", F.col("_x.r").alias("r")).agg(F.count("*").alias("_c"))
     held = spans.join(hits, ["label", "r"]).join(sizes, "label").select("label", "r", "span", (F.col("_c") / F.col("_n")).alias("recall")).where(F.col("recall") >= min_precision)
     if benign is None:
         return held
     held = staged(held)
-    rows = staged(benign.select("text", F.monotonically_increasing_id().alias("_row")))
-    met = held_by(rows, held, ["_row"], [], shortest, longest).groupBy("label", "r").agg(F.count("*").alias("_b"))
-    many = F.broadcast(rows.agg(F.count("*").alias("_m")))  # one row
+    met = texts_with(benign, staged(held.select("span").distinct()), shortest).withColumnRenamed("n", "_b")
+    many = F.broadcast(benign.agg(F.count("*").alias("_m")))  # one row
     rate = F.when(F.col("_m") > 0, F.coalesce("_b", F.lit(0)) / F.col("_m"))
-    return held.join(met, ["label", "r"], "left").join(many).select("label", "r", "span", "recall", rate.alias("benign_rate"))
+    return held.join(met, "span", "left").join(many).select("label", "r", "span", "recall", rate.alias("benign_rate"))
 
 
 def policy_rules(labelled: DataFrame, dsl: str = "cedar") -> DataFrame:
