@@ -565,6 +565,19 @@ def test_passages_of_any_length_are_found(spark):
     assert len(found) < len(texts) and got == dict.fromkeys(texts, 1.0)
 
 
+def test_passages_hand_on_only_what_items_have(spark, odd, monkeypatch):
+    """Documents hand on no hash that no item has, odd rows give what sketches of everything give, and so do items in parts."""
+    items = spark.createDataFrame([(1, "lorem ipsum dolor sit amet"), (2, "plain words here"), (3, ""), (4, None), (5, "no id at all, mail bob"), (5, "nowhere to be found in any of these")], "item_id long, text string")
+    want = sorted(map(str, fingerprint.containment(fingerprint.sketch(items, "item_id", scale=1), fingerprint.sketch(odd, scale=1), "item_id", "doc_id").collect()))
+    assert len(want) == 4 and sorted(map(str, fingerprint.passages(items, odd).collect())) == want
+    none = spark.createDataFrame([(9, "nothing of that kind anywhere")], "item_id long, text string")
+    quick = np.sort(np.array([r.q for r in fingerprint._quick(none, 5).collect()], np.int64).view(np.uint64))
+    assert fingerprint._among(odd, quick, 5).collect() == [] and fingerprint.passages(none, odd).collect() == []
+    assert fingerprint.passages(items.limit(0), odd).collect() == []
+    monkeypatch.setattr(fingerprint, "QUICK", 2)
+    assert sorted(map(str, fingerprint.passages(items, odd).collect())) == want
+
+
 @pytest.mark.parametrize("name", ["fingerprint_containment", "fingerprint_passages"])
 def test_containment_against_sql(spark, name):
     import duckdb

@@ -35,6 +35,8 @@ from wardline.llm import common, textvec
 SIZE = 5
 #: One hash in this many is retained.
 SCALE = 16
+#: Quick hashes of items that workers hold at a time; bytes of text that they search for them at a time.
+QUICK, PASSAGE_BYTES = 1 << 20, 1 << 19
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 #: A word for RE2 and for Python's regex: a run of letters, marks and digits of other scripts, or one such character of these.
 _SPACED = "|".join(rf"[^\P{{{c}}}{UNSPACED}]" for c in "LMN")
@@ -78,25 +80,34 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return out, begin, stop, np.searchsorted(start, offsets)
 
 
+def _shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, and of each shingle, repeated ones too: where it begins and ends, its quick hash and its text."""
+    buf, begin, stop, first = normalised(column)
+    many = np.diff(first)
+    doc = np.repeat(np.arange(len(many)), many)
+    rank = np.arange(len(doc)) - first[doc]
+    one = np.flatnonzero((rank == 0) | (rank <= many[doc] - size))  # the first word of each shingle
+    last = np.minimum(one + size - 1, first[doc[one] + 1] - 1)
+    return buf, begin[one], stop[last], textvec.range_hash(buf, begin[one], stop[last]), doc[one]
+
+
+def _values(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each distinct shingle of each text, and its text."""
+    order = np.lexsort((h, doc))
+    distinct = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))] if len(order) else order
+    _, some, back = np.unique(h[distinct], return_index=True, return_inverse=True)
+    some, view = distinct[some], memoryview(buf)
+    digest = b"".join(hashlib.md5(view[a:b]).digest()[:8] for a, b in zip(start[some].tolist(), end[some].tolist()))
+    return np.frombuffer(digest, ">u8").astype(np.uint64)[back], doc[distinct]
+
+
 def sketch(docs: DataFrame, key: str = "doc_id", size: int = SIZE, scale: int = SCALE) -> DataFrame:
     """key, n_shingles (distinct), n_kept, sketch: the retained hashes (16 digits) in order, an array."""
     limit = (1 << 64) // scale - 1
 
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
         rows = step.num_rows
-        buf, begin, stop, first = normalised(step.column("text"))
-        many = np.diff(first)
-        doc = np.repeat(np.arange(rows), many)
-        rank = np.arange(len(doc)) - first[doc]
-        one = np.flatnonzero((rank == 0) | (rank <= many[doc] - size))  # the first word of each shingle
-        last = np.minimum(one + size - 1, first[doc[one] + 1] - 1)
-        h, doc = textvec.range_hash(buf, begin[one], stop[last]), doc[one]
-        order = np.lexsort((h, doc))
-        distinct = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))] if len(order) else order
-        _, some, back = np.unique(h[distinct], return_index=True, return_inverse=True)
-        some, view = distinct[some], memoryview(buf)
-        digest = b"".join(hashlib.md5(view[a:b]).digest()[:8] for a, b in zip(begin[one[some]].tolist(), stop[last[some]].tolist()))
-        value, owner = np.frombuffer(digest, ">u8").astype(np.uint64)[back], doc[distinct]
+        value, owner = _values(*_shingles(step.column("text"), size))
         kept = value <= np.uint64(limit)
         pair = np.unique(np.stack([owner[kept].astype(np.uint64), value[kept]], 1), axis=0) if kept.any() else np.zeros((0, 2), np.uint64)
         offsets = np.searchsorted(pair[:, 0], np.arange(rows + 1, dtype=np.uint64)).astype(np.int32)
@@ -107,6 +118,33 @@ def sketch(docs: DataFrame, key: str = "doc_id", size: int = SIZE, scale: int =
     return common.map_steps(rows, run, f"{key} long, n_shingles long, n_kept long, sketch array<string>")
 
 
+def _quick(items: DataFrame, size: int) -> DataFrame:
+    """q: the distinct quick hashes of all shingles."""
+
+    def run(step: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(_shingles(step.column("text"), size)[3]).view(np.int64))], ["q"])
+
+    return common.map_steps(items.select(F.col("text").cast("string").alias("text")), run, "q long").distinct()
+
+
+def _among(docs: DataFrame, quick: np.ndarray, size: int) -> DataFrame:
+    """doc_id, sketch: of each document that has any of them, the hashes of those shingles whose quick hash is among those given (in order)."""
+    sent = docs.sparkSession.sparkContext.broadcast(quick)
+
+    def run(step: pa.RecordBatch) -> pa.RecordBatch | None:
+        buf, start, end, h, doc = _shingles(step.column("text"), size)
+        among = sent.value
+        met = np.flatnonzero(among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h) if len(among) else np.zeros(0, np.int64)
+        if not len(met):
+            return None
+        value, owner = _values(buf, start[met], end[met], h[met], doc[met])
+        some, offsets = np.unique(owner, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, len(owner)).astype(np.int32)), pa.array([f"{v:016x}" for v in value.tolist()], pa.string()))
+        return pa.RecordBatch.from_arrays([step.column("doc_id").take(pa.array(some)), lists], ["doc_id", "sketch"])
+
+    return common.map_steps(common.id_text(docs), run, "doc_id long, sketch array<string>", step_bytes=PASSAGE_BYTES)
+
+
 def merge(sketches: DataFrame, by: str) -> DataFrame:
     """by, sketch: the union of the sketches of each group; equal to the sketch of all its texts together."""
     return sketches.groupBy(by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))).alias("sketch"))
@@ -122,8 +160,18 @@ def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: s
 
 
 def passages(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, doc_id, shared, contained: the exact share of each item's shingles in each document that has any of them. The items' hashes go to every worker."""
-    return containment(F.broadcast(sketch(items, "item_id", scale=1)), sketch(docs, scale=1), "item_id", "doc_id")
+    """item_id, doc_id, shared, contained: the exact share of each item's shingles in each document that has any of them.
+
+    Workers get the items' quick hashes and hand on only what meets one of them; the documents are read once for each QUICK hashes.
+    """
+    quick = common.staged(_quick(items, SIZE), "quick")
+    parts = max(1, -(-quick.count() // QUICK))
+    found = None
+    for k in range(parts):
+        some = quick.where(F.pmod("q", F.lit(parts)) == k).toPandas()["q"].to_numpy(np.int64).view(np.uint64)
+        part = _among(docs, np.sort(some), SIZE)
+        found = part if found is None else found.unionByName(part)
+    return containment(sketch(items, "item_id", scale=1), found, "item_id", "doc_id")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
