@@ -238,6 +238,16 @@ def test_budgets(spark):
         ordered.running(df, ["k"], ["n"], -F.col("a"), 3).collect()
 
 
+def test_budgets_add_decimals_exactly(spark):
+    tenths = spark.createDataFrame([("k", i, 0.1) for i in range(10)] + [("x", 0, 0.1), ("x", 1, 0.2)], "k string, n int, a double")
+    got = {(r.k, r.n): r for r in ordered.running(tenths, ["k"], ["n"], F.col("a"), 1).collect()}
+    assert got["k", 9].used == 1.0 and got["k", 9].checkpoints == [100] and not got["k", 9].exceeded
+    assert not any(r.exceeded for r in ordered.running(tenths.where("k = 'x'"), ["k"], ["n"], F.col("a"), 0.3).collect())
+    assert {r.k: (r.used, r.exceeded) for r in ordered.composite(tenths, ["k"], {"dollar": (F.col("a"), 0.3)}).collect()} == {"k": (1.0, True), "x": (0.3, False)}
+    odd = spark.createDataFrame([("k", i, x) for i, x in enumerate([None, 0.5, 1e-20, 1e300])], "k string, n int, a double")
+    assert [r.used for r in ordered.running(odd, ["k"], ["n"], F.col("a"), 1).orderBy("n").collect()] == [None, 0.5, 0.5 + 1e-20, 1e300]
+
+
 def test_probe_and_pooling(spark):
     r = one(spark.range(1), m=scorers.mean_pool(F.array(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(3.0), F.lit(5.0)))), p=scorers.LinearProbe([1.0, 0.0]).score(F.array(F.lit(0.0), F.lit(1.0))), u=scorers.LinearProbe().decide(F.array(F.lit(0.0))))[0]
     assert r.m == [2.0, 4.0] and r.p == 0.5 and r.u.action == "allow" and "no_model" in r.u.evidence

@@ -11,6 +11,17 @@ CHECKPOINTS = (25, 50, 75, 100)
 KINDS = ("iteration", "token", "dollar", "wall_clock")
 
 
+def total(amount: Column, over=None) -> Column:
+    """The sum of the amounts as a double. It doesn't depend on the order of addition: amounts of up to 12 decimal places are added as decimals.
+
+    Where an amount is of more places, too large or not a number, that sum is one of doubles.
+    """
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    exact = amount.try_cast("decimal(38,12)")
+    inexact = F.count_if(amount.isNotNull() & ~F.coalesce(exact.cast("double") == amount.cast("double"), F.lit(False)))
+    return F.coalesce(F.when(at(inexact) == 0, at(F.try_sum(exact)).cast("double")), at(F.sum(amount.cast("double"))))
+
+
 def running(df: DataFrame, key: list[str], seq: list[str], amount: Column, limit: float, name: str = "budget", kind: str = "token") -> DataFrame:
     """Adds used, limit, fraction, remaining, exceeded (strictly above the limit, the amount counted first) and checkpoints reached by the step.
 
@@ -20,7 +31,7 @@ def running(df: DataFrame, key: list[str], seq: list[str], amount: Column, limit
         raise ValueError("limit must be positive")
     w = Window.partitionBy(*key).orderBy(*seq)
     checked = F.when(amount < 0, F.raise_error(F.lit("negative amount"))).otherwise(amount)
-    df = df.withColumn("used", F.sum(checked).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("used", total(checked, w.rowsBetween(Window.unboundedPreceding, 0)))
     percent = F.floor(F.col("used") / limit * 100)
     before = F.coalesce(F.lag(percent).over(w), F.lit(-1))
     return df.withColumns({
@@ -38,7 +49,7 @@ def wall_clock(df: DataFrame, key: list[str], seq: list[str], ts: str, limit_s:
 
 def composite(df: DataFrame, key: list[str], budgets: dict[str, tuple[Column, float]]) -> DataFrame:
     """key, budget, used, limit, fraction, exceeded: a row for each budget of each key; one pass."""
-    sums = df.groupBy(*key).agg(*(F.sum(a).cast("double").alias(n) for n, (a, _) in budgets.items()))
+    sums = df.groupBy(*key).agg(*(total(a).alias(n) for n, (a, _) in budgets.items()))
     each = F.array(*(F.struct(F.lit(n).alias("budget"), F.col(n).alias("used"), F.lit(float(limit)).alias("limit")) for n, (_, limit) in budgets.items()))
     rows = sums.select(*key, F.explode(each).alias("b")).select(*key, "b.*")
     return rows.withColumns({"fraction": F.col("used") / F.col("limit"), "exceeded": F.col("used") > F.col("limit")})
